@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, html, licenses, mil, neardup, secrets, tokens, vectors
+from . import chat, decontam, html, licenses, mil, neardup, pitman_yor, secrets, tokens, vectors
 
-MODULES = (neardup, tokens, licenses, decontam, html, secrets, chat, mil, vectors)
+MODULES = (neardup, tokens, licenses, decontam, html, secrets, chat, mil, pitman_yor, vectors)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
