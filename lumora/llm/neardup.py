@@ -13,9 +13,10 @@ linked if the Jaccard similarity of their sets is THRESHOLD or more, which is al
 4. In each bucket every class is paired with the bucket's first and last class only. Pairs pass if the similarity that
    is likeliest, jointly for all registers and given the sets' sizes, is LIKELY or more (5 standard deviations below
    THRESHOLD), and are then verified on the sets.
-5. Buckets whose classes are not yet all connected are compared whole: cut into blocks, block against block, and only
-   pairs in different components that pass the likelihood leave a block. They are verified too. So every pair that
-   shares a bucket is either connected already or decided, without all pairs of a group being made.
+5. Buckets whose classes are not yet all connected are compared whole: cut into blocks, block against block. Pairs of
+   different components that pass the likelihood, each in the first bucket it shares, are verified where they meet: their
+   classes' texts come to the block, and only links that connect components leave it. So every pair that shares a
+   bucket is connected already or decided, and no list of a group's pairs is made.
 
 Rows that share a doc_id are one document as for components (they get a row each). A null doc_id is never linked by
 itself, has the component of its class's least id if there is one, and isn't kept. Null texts count as empty. Further
@@ -39,7 +40,7 @@ SHINGLE, THRESHOLD = 5, (75, 100)
 ROWS, BANDS, BASE, SCALE = 5, 44, 1.1, 20.0
 REGISTERS = ROWS * BANDS
 LIKELY = 0.6
-BLOCK = 256
+STAR, BLOCK = 256, 1024
 _rng = np.random.Generator(np.random.PCG64(99))
 _A = _rng.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
@@ -175,36 +176,67 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of distinct pairs (a, b) those whose full sets are linked; texts travel once for each pair's a and each BLOCK pairs of a b."""
+    """Of distinct pairs (a, b) those whose full sets are linked; texts travel once for each pair's a and each STAR pairs of a b."""
     size = pairs.groupBy("b").agg(F.count("*").alias("k"))
-    salted = cut(pairs.join(size, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("k") / BLOCK)).alias("salt")))
+    salted = cut(pairs.join(size, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("k") / STAR)).alias("salt")))
     needs = salted.select(F.col("a").alias("doc_id"), "b", "salt", F.lit(1).alias("member")).union(salted.select(F.col("b"), "b", "salt", F.lit(0)).distinct())
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "text").join(needs, "doc_id")
     return rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "member", "doc_id").mapInArrow(_verify_batches, "a long, b long").distinct()
 
 
-def _block_pairs(t: pa.Table) -> pa.Table:
-    """The likely pairs of one block pair, of classes in different components."""
-    i, j = t["i"][0].as_py(), t["j"][0].as_py()
-    own = t["block"].to_numpy()
-    regs = np.frombuffer(b"".join(t["regs"].to_pylist()), dtype=np.uint8).reshape(-1, REGISTERS)
+def _tile_pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The likely pairs of a block against a block of a bucket, as row numbers, and how likely they are alike.
+
+    Only pairs in different components, and each only in the first of all buckets that it shares.
+    """
+    bucket, i, j = (t[x][0].as_py() for x in ("bucket", "i", "j"))
+    own, regs = t["block"].to_numpy(), _matrix(t["regs"])
     cid, comp, n = (t[x].to_numpy() for x in ("cid", "comp", "n_shingles"))
+    keys = bands(regs).view(np.int64)
     left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
     num, den = THRESHOLD
-    a_out, b_out = [], []
+    pairs = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
     for a in left.tolist():
-        others = right[cid[right] > cid[a]] if i == j else right
-        others = others[(comp[others] != comp[a]) & (np.minimum(n[others], n[a]) * den >= np.maximum(n[others], n[a]) * num)]
-        if not len(others):
-            continue
-        x, y = regs[a][None, :], regs[others]
-        equal = (x == y).sum(axis=1)
-        others, y = others[equal >= 0.4 * REGISTERS], y[equal >= 0.4 * REGISTERS]  # far below what LIKELY asks for
-        if len(others):
-            keep = others[likeliest((x > y).sum(axis=1), (x < y).sum(axis=1), np.full(len(others), n[a]), n[others]) >= LIKELY]
-            a_out += np.maximum(cid[keep], cid[a]).tolist()
-            b_out += np.minimum(cid[keep], cid[a]).tolist()
-    return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
+        b = right[cid[right] > cid[a]] if i == j else right
+        b = b[(comp[b] != comp[a]) & (np.minimum(n[b], n[a]) * den >= np.maximum(n[b], n[a]) * num)]
+        b = b[keys[a][(keys[b] == keys[a]).argmax(axis=1)] == bucket]
+        x, y = regs[a][None, :], regs[b]
+        close = (x == y).sum(axis=1) >= 0.4 * REGISTERS  # far below what LIKELY asks for
+        b, y = b[close], y[close]
+        if len(b):
+            alike = likeliest((x > y).sum(axis=1), (x < y).sum(axis=1), np.full(len(b), n[a]), n[b])
+            keep = alike >= LIKELY
+            pairs.append((np.full(int(keep.sum()), a), b[keep], alike[keep]))
+    return tuple(np.concatenate(x) for x in zip(*pairs, strict=True))
+
+
+def _tile_members(t: pa.Table) -> pa.Table:
+    """The classes of a tile that are in a likely pair."""
+    a, b, _ = _tile_pairs(t)
+    return t.select(["bucket", "i", "j", "block", "cid", "comp"]).take(pa.array(np.unique(np.concatenate((a, b)))))
+
+
+def _tile_links(t: pa.Table) -> pa.Table:
+    """Links, verified on the full sets, that connect what is linked in a tile; the likeliest pairs come first."""
+    t = t.combine_chunks()
+    sets = [s for c in t["text"].chunks for *_, raw, off in slices(c) for s in shingle_sets(Words(raw, off, SPACED), SHINGLE)]
+    cid, of = t["cid"].to_numpy(), dict(enumerate(t["comp"].to_pylist()))
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.get(x, x) != x:
+            up[x] = x = up.get(up[x], up[x])
+        return x
+
+    a, b, alike = _tile_pairs(t)
+    out = []
+    for k in np.argsort(-alike, kind="stable").tolist():
+        x, y = int(a[k]), int(b[k])
+        p, q = root(of[x]), root(of[y])
+        if p != q and linked(sets[x], sets[y]):
+            up[p] = q
+            out.append((max(cid[x], cid[y]), min(cid[x], cid[y])))
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
 
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -222,15 +254,18 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     # what is left: buckets that hold several components
     inside = members.select("bucket", "cid", "k").join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("root", "cid"))
     open_ = inside.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most")
-    blocks = F.ceil(F.col("k") / BLOCK)
     # in a bucket of two classes the pair is decided by now
-    todo = inside.where("k > 2").join(open_.select("bucket"), "bucket", "left_semi").select("bucket", "cid", "comp", blocks.alias("blocks"), F.pmod(F.xxhash64("cid"), blocks).alias("block"))
-    todo = todo.join(classes.select("cid", "n_shingles", "regs"), "cid")
+    todo = inside.where("k > 2").join(open_.select("bucket"), "bucket", "left_semi")
+    blocks = F.ceil(F.col("k") / BLOCK)
+    todo = todo.select("bucket", "cid", "comp", blocks.alias("blocks"), F.pmod(F.xxhash64("cid"), blocks).alias("block"))
     todo = todo.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    todo = todo.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "comp", "n_shingles", "regs")
-    more = todo.groupBy("bucket", "i", "j").applyInArrow(_block_pairs, "a long, b long").distinct()
-    more = cut(more.join(tested, ["a", "b"], "left_anti"))
-    return sketches, classes, links.union(cut(verify(more, docs)))
+    todo = todo.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "comp")
+    body = classes.select("cid", "n_shingles", "regs")
+    tile = ["bucket", "i", "j"]
+    left = cut(todo.join(body, "cid").groupBy(*tile).applyInArrow(_tile_members, "bucket long, i long, j long, block long, cid long, comp long"))
+    texts = docs.selectExpr("cast(doc_id as long) cid", "text")
+    more = left.join(body, "cid").join(texts, "cid").groupBy(*tile).applyInArrow(_tile_links, "a long, b long")
+    return sketches, classes, links.union(cut(more.distinct()))
 
 
 def groups(docs: DataFrame) -> DataFrame:
