@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .jobs import cut, prepare, table
+from .jobs import cut, prepare, table, without
 from .text import ALNUM, Words, column, grams, slices
 
 WINDOW, K = 10, 6
@@ -193,7 +193,7 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the documents in which an item's window occurs; documents with a null id stay."""
     _, spans = _spans(docs.sparkSession, docs, items)
     bad = cut(spans.select("doc_id").distinct())
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, bad, "doc_id")
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -28,6 +28,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bits of the bitmaps that say which keys can't be in a set; they hold MARK_BITS / 64 rows at most, whatever the set's size.
+MARK_BITS = 1 << 23
+
+
+def marks(keys: DataFrame, key: str) -> DataFrame:
+    """(word, bits): a bitmap of the keys' hashes."""
+    place = F.pmod(F.xxhash64(key), F.lit(MARK_BITS))
+    return keys.select(F.floor(place / 64).cast("long").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({key}), 64) as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+def marked(df: DataFrame, key: str, bitmap: DataFrame, inside: bool = True) -> DataFrame:
+    """The rows of df whose key may be in the bitmap's set (all that are, and few others while the set is small); or those whose key isn't."""
+    place = F.pmod(F.xxhash64(key), F.lit(MARK_BITS))
+    hit = F.expr(f"coalesce(shiftright(bits, cast(pmod(xxhash64({key}), 64) as int)) & 1L, 0L) = 1L")
+    out = df.withColumn("word__", F.floor(place / 64).cast("long")).join(F.broadcast(bitmap.withColumnRenamed("word", "word__")), "word__", "inner" if inside else "left")
+    return out.where(hit if inside else ~hit).select(*df.columns)
+
+
+def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """df without the rows whose key is among keys (which should be written already); only rows that the bitmap can't clear are shuffled."""
+    bitmap = marks(keys, key)
+    # an anti join would be pushed below the bitmap's, and shuffle all rows
+    listed = keys.select(key).distinct().withColumn("listed__", F.lit(True))
+    rest = marked(df, key, bitmap).join(listed, key, "left").where("listed__ is null").select(*df.columns)
+    return marked(df, key, bitmap, inside=False).union(rest)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
     """(node, root): the least node that each node of an undirected edge list can reach.
 

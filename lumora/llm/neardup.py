@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .jobs import components, cut, prepare, table
+from .jobs import components, cut, marked, marks, prepare, table, without
 from .text import SPACED, Words, column, mix, shingle_sets, slices
 
 SHINGLE, THRESHOLD = 5, (75, 100)
@@ -180,7 +180,8 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     size = pairs.groupBy("b").agg(F.count("*").alias("k"))
     salted = cut(pairs.join(size, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("k") / STAR)).alias("salt")))
     needs = salted.select(F.col("a").alias("doc_id"), "b", "salt", F.lit(1).alias("member")).union(salted.select(F.col("b"), "b", "salt", F.lit(0)).distinct())
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", "text").join(needs, "doc_id")
+    texts = marked(docs.selectExpr("cast(doc_id as long) doc_id", "text"), "doc_id", marks(needs, "doc_id"))
+    rows = texts.join(needs, "doc_id")
     return rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "member", "doc_id").mapInArrow(_verify_batches, "a long, b long").distinct()
 
 
@@ -263,7 +264,7 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     body = classes.select("cid", "n_shingles", "regs")
     tile = ["bucket", "i", "j"]
     left = cut(todo.join(body, "cid").groupBy(*tile).applyInArrow(_tile_members, "bucket long, i long, j long, block long, cid long, comp long"))
-    texts = docs.selectExpr("cast(doc_id as long) cid", "text")
+    texts = marked(docs.selectExpr("cast(doc_id as long) cid", "text"), "cid", marks(left, "cid"))
     more = left.join(body, "cid").join(texts, "cid").groupBy(*tile).applyInArrow(_tile_links, "a long, b long")
     return sketches, classes, links.union(cut(more.distinct()))
 
@@ -280,7 +281,7 @@ def groups(docs: DataFrame) -> DataFrame:
 def dedupe(docs: DataFrame) -> DataFrame:
     """docs without those that aren't kept; rows that repeat a doc_id are left to one row, rows without one stay."""
     gone = cut(groups(docs).where("not kept and doc_id is not null").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, gone, "doc_id")
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
