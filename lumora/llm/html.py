@@ -242,7 +242,7 @@ def min_cut(terminal: list[int], smooth: list[tuple[int, int, int]]) -> list[boo
     n = len(terminal)
     left = list(terminal)  # what the source can still give, or (negative) the sink still take
     if all(x >= 0 for x in left) or all(x <= 0 for x in left):
-        return [x > 0 for x in terminal]
+        return [any(x > 0 for x in left)] * n
     to: list[int] = []
     cap: list[int] = []
     by: list[list[int]] = [[] for _ in range(n)]

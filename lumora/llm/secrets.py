@@ -1,10 +1,11 @@
 """Secret scans: a recursive decoding worklist over whole texts.
 
-Every text is scanned for three kinds of secrets (see ``RULES``). Then nested layers are unwrapped:
-runs with URL escapes, Unicode escapes, base64 runs, and what base64 holds in compressed form. Each
-decoded layer goes on a worklist, is scanned by the same rules, and is unwrapped in turn until no new
-layer turns up. A layer keeps the span of the original text that it came from; what is found in it is
-reported with that span. Cycle detection is by the layer's content and span, so no layer is visited twice.
+Every text is scanned for three kinds of secrets (see ``RULES``). Then nested layers are unwrapped: the text with
+its URL escapes decoded where they stand, with its Unicode and character escapes decoded, and what each base64 run
+holds, in compressed form too. Each decoded layer goes on a worklist, is scanned by the same rules, and is unwrapped
+in turn until no new layer turns up. A layer knows for each of its characters the places in the original that it came
+from (of a base64 run, the whole run), and what is found in it is reported with those. Cycle detection is by a layer's
+content and places, so no layer is visited twice.
 
 Null texts count as empty and yield no spans. Rows are independent of each other: repeated rows and ids
 give repeated results; an empty table gives an empty result; further columns are ignored.
@@ -36,9 +37,8 @@ _HEX = re.compile("[0-9a-f]{16,}")  # a greedy run; shorter ones are dropped any
 RULES = (("assign", _ASSIGN, 2, 12), ("access", _ACCESS, 0, 18), ("hex", _HEX, 0, 16))
 _WORDS = re.compile("pass(?:word|wd)|secret|token|api_?key")
 
-_URL = re.compile(r"[^\s\"'<>]*%[0-9A-Fa-f]{2}[^\s\"'<>]*")
-_UNICODE = re.compile(r"\S*(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#x?[0-9A-Fa-f]{1,6};)\S*")
-_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+_URL = re.compile("(?:%[0-9A-Fa-f]{2})+")
+_ESCAPE = re.compile(r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 
 #: What one compressed layer may grow to, in bytes; beyond it the layer is scanned in pieces of this size
@@ -56,14 +56,48 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _unescape(m: re.Match) -> str:
-    code = int(m[4]) if m[4] else int(m[1] or m[2] or m[3], 16)
-    return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "�"
+def _unescape(m: re.Match) -> list[tuple[str, int, int]]:
+    """The characters of an escape with the places that each comes from."""
+    if m.lastindex is None:  # a pair of surrogates
+        high, low = int(m[0][2:6], 16), int(m[0][8:12], 16)
+        code = 0x10000 + ((high - 0xD800) << 10) + low - 0xDC00
+    else:
+        code = int(m[4]) if m[4] else int(m[1] or m[2] or m[3], 16)
+    return [(chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd", m.start(), m.end())]
+
+
+def _unquote(m: re.Match) -> list[tuple[str, int, int]]:
+    raw = bytes.fromhex(m[0].replace("%", ""))
+    out, at = [], m.start()
+    try:
+        for c in raw.decode("utf-8"):
+            n = 3 * len(c.encode())
+            out.append((c, at, at + n))
+            at += n
+    except UnicodeDecodeError:  # each byte on its own
+        return [(chr(b), m.start() + 3 * i, m.start() + 3 * i + 3) for i, b in enumerate(raw)]
+    return out
+
+
+#: Places in the original of each character of a layer: where they begin and end; none for the original itself.
+Places = tuple[np.ndarray, np.ndarray] | None
 
 
-def _unquote(s: str) -> str:
-    raw = re.sub(rb"%([0-9A-Fa-f]{2})", lambda m: bytes([int(m[1], 16)]), s.encode("utf-8", "replace"))
-    return raw.decode("utf-8", "replace")
+def _in_place(text: str, places: Places, pattern: re.Pattern, decode) -> tuple[str, Places]:
+    """A text with all matches decoded where they stand."""
+    parts, begins, ends, at = [], [], [], 0
+    for m in pattern.finditer(text):
+        got = decode(m)
+        plain = np.arange(at, m.start())
+        parts += [text[at : m.start()], "".join(c for c, _, _ in got)]
+        begins += [plain, np.array([a for _, a, _ in got], dtype=np.int64)]
+        ends += [plain + 1, np.array([b for _, _, b in got], dtype=np.int64)]
+        at = m.end()
+    rest = np.arange(at, len(text))
+    lo, hi = np.concatenate([*begins, rest]), np.concatenate([*ends, rest + 1])
+    if places is not None:
+        lo, hi = places[0][lo], places[1][hi - 1]
+    return "".join(parts) + text[at:], (lo, hi)
 
 
 def _inflate(raw: bytes) -> Iterator[str]:
@@ -116,32 +150,31 @@ def _b64(s: str) -> Iterator[str]:
             return
 
 
-def layers(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, decoded) of what can be unwrapped in a text."""
-    if "%" in text:
-        for m in _URL.finditer(text):
-            yield m.start(), m.end(), _unquote(m[0])
-    if "\\" in text or "&#" in text:
-        for m in _UNICODE.finditer(text):
-            yield m.start(), m.end(), _ESCAPE.sub(_unescape, m[0])
+def layers(text: str, places: Places = None) -> Iterator[tuple[str, Places]]:
+    """What a text can be unwrapped to: itself with its URL or Unicode escapes decoded, and what each base64 run holds."""
+    if "%" in text and _URL.search(text):
+        yield _in_place(text, places, _URL, _unquote)
+    if ("\\" in text or "&#" in text) and _ESCAPE.search(text):
+        yield _in_place(text, places, _ESCAPE, _unescape)
     for m in _BASE64.finditer(text):
+        lo, hi = (m.start(), m.end()) if places is None else (int(places[0][m.start()]), int(places[1][m.end() - 1]))
         for got in _b64(m[0]):
-            yield m.start(), m.end(), got
+            if got:
+                yield got, (np.full(len(got), lo), np.full(len(got), hi))
 
 
 def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """The spans found in the text as it is, and all spans with those of decoded layers, in the original's code points."""
     base = scan(text)
-    spans, seen = set(base), set()
-    work = [(lo, hi, got) for lo, hi, got in layers(text)]
+    spans, seen, work = set(base), set(), list(layers(text))
     while work:
-        lo, hi, inner = work.pop()
-        key = (lo, hi, hashlib.blake2b(inner.encode("utf-8", "replace"), digest_size=16).digest())
-        if key in seen:
+        inner, places = work.pop()
+        key = hashlib.blake2b(inner.encode("utf-8", "replace") + places[0].tobytes() + places[1].tobytes(), digest_size=16).digest()
+        if key in seen or inner == text:
             continue
         seen.add(key)
-        spans.update((lo, hi, k) for _, _, k in scan(inner))
-        work += [(lo, hi, got) for _, _, got in layers(inner) if got != inner]
+        spans.update((int(places[0][s]), int(places[1][e - 1]), k) for s, e, k in scan(inner))
+        work += layers(inner, places)
     return base, sorted(spans, key=lambda s: (s[0], s[2], s[1]))
 
 
