@@ -73,16 +73,20 @@ def gatekeeper(seq: Column) -> Column:
     return F.when(at >= 1, F.struct(F.substring(seq, at, F.lit(1)).alias("residue"), at.alias("position")))
 
 
+def _painted(places: Column, colour: str) -> Column:
+    return F.map_from_arrays(places, F.transform(places, lambda _: F.lit(colour)))
+
+
 def colours(seq: Column) -> Column:
     """Map of 1-based position to colour: named motifs in order, then the gatekeeper, the last one wins (set mapKeyDedupPolicy)."""
     out = F.create_map().cast("map<int,string>")
     for _, pattern, colour, _ in NAMED:
         at, length = F.regexp_instr(seq, F.lit(pattern)), F.length(F.regexp_substr(seq, F.lit(pattern)))
         places = F.when(at > 0, F.sequence(at, at + length - 1)).otherwise(F.array().cast("array<int>"))
-        out = F.map_concat(out, F.map_from_arrays(places, F.transform(places, lambda _, c=colour: F.lit(c))))
+        out = F.map_concat(out, _painted(places, colour))
     at = F.regexp_instr(seq, F.lit("DFG")) - GATEKEEPER_BEFORE
     places = F.when(at >= 1, F.array(at)).otherwise(F.array().cast("array<int>"))
-    return F.map_concat(out, F.map_from_arrays(places, F.transform(places, lambda _: F.lit(GATEKEEPER_COLOUR))))
+    return F.map_concat(out, _painted(places, GATEKEEPER_COLOUR))
 
 
 def highlighted(seq: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import motifs, scalars
@@ -11,14 +12,26 @@ from .common import table, wide
 
 WORDS = ("that", "der", "des", "del")
 ACCESSION = "concat('D', CAST(doc_id AS VARCHAR(20)), CASE WHEN doc_id % 7 = 0 THEN '-2' WHEN doc_id % 11 = 0 THEN '-A' ELSE '' END)"
-_acc = F.concat(F.lit("D"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 7 == 0, "-2").when(F.col("doc_id") % 11 == 0, "-A").otherwise(""))
 _FRAGMENT = f"regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])({'|'.join(WORDS)})([^\\p{{L}}\\p{{N}}_]|$)')"
 _ISOFORM = f"regexp_matches(split_part({ACCESSION}, '-', 2), '^[0-9]+$')"
 _LEAST = 500
-_FILTERS = {"reviewed_only": F.lit(False), "canonical_isoforms": scalars.is_isoform(_acc), "fragments_removed": scalars.is_fragment(F.col("text"), WORDS), f"min_length_{_LEAST}": F.coalesce(F.length("text"), F.lit(0)) < _LEAST}
 _CASCADE = f"f AS (SELECT doc_id, CASE WHEN {_ISOFORM} THEN 2 WHEN {_FRAGMENT} THEN 3 WHEN length(coalesce(text, '')) < {_LEAST} THEN 4 ELSE 0 END AS s FROM documents)"
 _HASH = "md5(replace(upper(replace(text, 'ß', 'SS')), '*', ''))"
-_hash = scalars.sequence_hash(F.col("text"))
+
+
+# columns are made when a query is called: there is no session while this module loads
+def _acc() -> Column:
+    return F.concat(F.lit("D"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 7 == 0, "-2").when(F.col("doc_id") % 11 == 0, "-A").otherwise(""))
+
+
+def _filters() -> dict[str, Column]:
+    return {"reviewed_only": F.lit(False), "canonical_isoforms": scalars.is_isoform(_acc()), "fragments_removed": scalars.is_fragment(F.col("text"), WORDS), f"min_length_{_LEAST}": F.coalesce(F.length("text"), F.lit(0)) < _LEAST}
+
+
+def _hash() -> Column:
+    return scalars.sequence_hash(F.col("text"))
+
+
 _docs = lambda s, d: table(s, d, "documents")
 
 QUERIES, ORACLE = {}, {}
@@ -37,13 +50,13 @@ def query(name: str, sql: str | None = None):
 @query("filter_cascade_audit", f"""WITH {_CASCADE}, n AS (SELECT CAST(step AS BIGINT) AS step, filter FROM (VALUES (1, 'reviewed_only'), (2, 'canonical_isoforms'), (3, 'fragments_removed'), (4, 'min_length_{_LEAST}')) v(step, filter))
 SELECT n.step, n.filter, (SELECT count(*) FROM f WHERE s = n.step) AS removed, (SELECT count(*) FROM f WHERE s = 0 OR s > n.step) AS remaining FROM n""")
 def _audit(s, d):
-    return ops.cascade_audit(_docs(s, d), _FILTERS)
+    return ops.cascade_audit(_docs(s, d), _filters())
 
 
 @query("filter_removed_samples", f"""WITH {_CASCADE}, r AS (SELECT CASE s WHEN 2 THEN 'canonical_isoforms' WHEN 3 THEN 'fragments_removed' ELSE 'min_length_{_LEAST}' END AS filter, doc_id, row_number() OVER (PARTITION BY s ORDER BY doc_id) AS k FROM f WHERE s > 0)
 SELECT filter, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) FILTER (k <= 50) AS sample FROM r GROUP BY filter""")
 def _samples(s, d):
-    return ops.removed_samples(_docs(s, d), _FILTERS, "doc_id").withColumn("sample", F.array_join(F.transform("sample", lambda x: x.cast("string")), ","))
+    return ops.removed_samples(_docs(s, d), _filters(), "doc_id").withColumn("sample", F.array_join(F.transform("sample", lambda x: x.cast("string")), ","))
 
 
 @query("fragment_filter", f"SELECT doc_id FROM documents WHERE NOT coalesce({_FRAGMENT}, false)")
@@ -53,7 +66,7 @@ def _fragments(s, d):
 
 @query("isoform_canonical", f"SELECT doc_id, {ACCESSION} AS accession, split_part({ACCESSION}, '-', 1) AS canonical, {_ISOFORM} AS is_isoform FROM documents")
 def _isoforms(s, d):
-    return _docs(s, d).select("doc_id", _acc.alias("accession"), scalars.canonical(_acc).alias("canonical"), scalars.is_isoform(_acc).alias("is_isoform"))
+    return _docs(s, d).select("doc_id", _acc().alias("accession"), scalars.canonical(_acc()).alias("canonical"), scalars.is_isoform(_acc()).alias("is_isoform"))
 
 
 @query("min_length", f"SELECT doc_id, length(text) AS n FROM documents WHERE length(text) >= {_LEAST}")
@@ -80,17 +93,17 @@ def _wrap(s, d):
 
 @query("exact_dedup_reps", f"SELECT {_HASH} AS group_key, min(doc_id) AS representative, count(*) AS n FROM documents GROUP BY 1")
 def _reps(s, d):
-    return ops.representatives(_docs(s, d), "doc_id", _hash)
+    return ops.representatives(_docs(s, d), "doc_id", _hash())
 
 
 @query("dedup_first_seen", f"SELECT {_HASH} AS group_key, arg_min(doc_id, (n_chars, doc_id)) AS representative, count(*) AS n FROM documents GROUP BY 1")
 def _first_seen(s, d):
-    return ops.representatives(_docs(s, d), "doc_id", _hash, F.struct("n_chars", "doc_id"))
+    return ops.representatives(_docs(s, d), "doc_id", _hash(), F.struct("n_chars", "doc_id"))
 
 
 @query("dedup_map", f"WITH g AS (SELECT doc_id, {_HASH} AS group_key, min(doc_id) OVER (PARTITION BY {_HASH}) AS r FROM documents) SELECT doc_id AS duplicate, r AS representative, group_key FROM g WHERE doc_id <> r")
 def _map(s, d):
-    return ops.duplicate_map(_docs(s, d), "doc_id", _hash)
+    return ops.duplicate_map(_docs(s, d), "doc_id", _hash())
 
 
 _SIZES = f"g AS (SELECT count(*) AS n FROM documents GROUP BY {_HASH})"
@@ -98,12 +111,12 @@ _SIZES = f"g AS (SELECT count(*) AS n FROM documents GROUP BY {_HASH})"
 
 @query("dedup_report", f"WITH {_SIZES} SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS unique_sequences, count(*) FILTER (n = 1) AS singletons, count(*) FILTER (n > 1) AS duplicate_groups, CAST(sum(n - 1) AS BIGINT) AS removed, max(n) AS largest_group, round(count(*) * 100.0 / sum(n), 6) AS retention_pct FROM g")
 def _report(s, d):
-    return ops.dedup_report(_docs(s, d), "doc_id", _hash)
+    return ops.dedup_report(_docs(s, d), "doc_id", _hash())
 
 
 @query("dup_size_hist", f"WITH {_SIZES} SELECT n AS group_size, count(*) AS groups FROM g WHERE n > 1 GROUP BY n")
 def _sizes(s, d):
-    return ops.duplicate_sizes(_docs(s, d), "doc_id", _hash)
+    return ops.duplicate_sizes(_docs(s, d), "doc_id", _hash())
 
 
 _SOURCE = "CASE c_nationkey % 4 WHEN 0 THEN 'original' WHEN 1 THEN 'protein_name_parsing' WHEN 2 THEN 'subfamily_mapping' ELSE 'other' END"
@@ -227,7 +240,7 @@ def _integrity(s, d):
 
 @query("split_leakage", f"WITH {_SPLIT}, x AS (SELECT {_HASH} AS group_key, side FROM documents JOIN sp USING (source)) SELECT group_key, count(DISTINCT side) AS sides FROM x GROUP BY 1 HAVING count(DISTINCT side) > 1")
 def _leak(s, d):
-    x = _docs(s, d).select("source", _hash.alias("group_key")).join(_split(s, d).select("source", "side"), "source")
+    x = _docs(s, d).select("source", _hash().alias("group_key")).join(_split(s, d).select("source", "side"), "source")
     return grouping.leakage(x, "group_key", "side")
 
 
@@ -307,12 +320,12 @@ def _highlight(s, d):
 
 @query("cluster_stats_hist", f"WITH {_SIZES} SELECT CASE WHEN n > 10 THEN '11+' ELSE CAST(n AS VARCHAR) END AS size, count(*) AS clusters FROM g GROUP BY 1")
 def _hist(s, d):
-    return grouping.size_histogram(_docs(s, d).select(_hash.alias("c")), "c")
+    return grouping.size_histogram(_docs(s, d).select(_hash().alias("c")), "c")
 
 
 @query("cluster_stats", f"WITH {_SIZES} SELECT count(*) AS clusters, CAST(sum(n) AS BIGINT) AS members, min(n) AS smallest, max(n) AS largest, round(avg(n), 6) AS mean_size, count(*) FILTER (n = 1) AS singletons FROM g")
 def _stats(s, d):
-    return grouping.cluster_stats(_docs(s, d).select(_hash.alias("c")), "c")
+    return grouping.cluster_stats(_docs(s, d).select(_hash().alias("c")), "c")
 
 
 @query("simcluster_greedy")
