@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .jobs import prepare, table
+from .jobs import prepare, table, tidy
 from .text import column
 
 START, END, MARK = "<|im_start|>", "<|im_end|>", "\x1b"
@@ -93,6 +93,7 @@ def render(df: DataFrame) -> DataFrame:
     """Per turn: conv_id, turn, the rendered turn, and the span of its text in it that the loss covers (null for other roles than assistant)."""
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
@@ -126,6 +127,7 @@ class _Digest:
 _NAMES = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+@tidy
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
     make = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], names=list(_NAMES))

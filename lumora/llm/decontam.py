@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .jobs import cut, prepare, table, without
+from .jobs import cut, prepare, table, tidy, without
 from .text import ALNUM, Words, column, grams, slices
 
 WINDOW, K = 10, 6
@@ -59,6 +59,7 @@ def _rows(h: np.ndarray, at: int, k: int) -> tuple:
     return s[max(0, at - REACH) : at][::-1].tolist(), s[at : at + k].tolist(), s[at + k : at + k + REACH].tolist()
 
 
+@tidy
 def _item_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = None
     for batch in batches:
@@ -88,6 +89,7 @@ def fingerprints(items: DataFrame) -> DataFrame:
 def _filter(prints: DataFrame) -> tuple[np.ndarray, list[int]]:
     """A bitmap of FILTER_BITS of the fingerprints, and the lengths (under WINDOW) of short items."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, lengths = np.zeros(FILTER_BITS, dtype=bool), 0
         for b in batches:
@@ -121,6 +123,7 @@ def _spans(spark: SparkSession, docs: DataFrame, items: DataFrame) -> tuple[Data
     bits, lengths = _filter(prints)
     packed = spark.sparkContext.broadcast(np.packbits(bits).tobytes())
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = np.unpackbits(np.frombuffer(packed.value, dtype=np.uint8)).view(bool)
         hit = pa.list_(pa.struct([("fp", pa.int64()), ("at", pa.int64()), ("short", pa.int32()), *((x, pa.list_(pa.int64())) for x in ("before", "own", "after"))]))

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .jobs import prepare, table
+from .jobs import prepare, table, tidy
 from .text import column
 
 _TOKEN = re.compile(r"""<!--(?:>|->)?|<!\[CDATA\[|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|$)""")
@@ -309,6 +309,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text."""
     prepare(pages.sparkSession)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [main_text(x.as_py()) for x in column(b, "html")]

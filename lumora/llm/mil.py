@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .jobs import cut, prepare, table
+from .jobs import cut, prepare, table, tidy
 from .text import SPACED, Words, column, mix, slices
 
 PASSAGE, TRAIN_DOCS, TRAIN_PASSAGES = 64, 4000, 16
@@ -160,6 +160,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed:
     return model
 
 
+@tidy
 def _bag_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, out = column(batch, "doc_id"), []
@@ -207,6 +208,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     prepare(docs.sparkSession)
     scores = _scorer(docs.sparkSession, model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(scores(column(b, "text")))], names=["doc_id", "score"])
@@ -220,6 +222,7 @@ def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     prepare(docs.sparkSession)
     scores = _scorer(docs.sparkSession, model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .jobs import components, cut, marked, marks, prepare, table, without
+from .jobs import components, cut, marked, marks, prepare, table, tidy, without
 from .text import SPACED, Words, column, mix, shingle_sets, slices
 
 SHINGLE, THRESHOLD = 5, (75, 100)
@@ -113,6 +113,7 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
         yield lo, shingle_sets(Words(raw, off, SPACED), SHINGLE)
 
 
+@tidy
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = column(batch, "doc_id")
@@ -135,6 +136,7 @@ def _matrix(regs: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(regs.to_pylist()), dtype=np.uint8).reshape(-1, REGISTERS)
 
 
+@tidy
 def _band_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo in range(0, b.num_rows, 2000):
@@ -144,6 +146,7 @@ def _band_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids)], names=["bucket", "cid"])
 
 
+@tidy
 def _likely_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x, y = _matrix(column(b, "regs_a")), _matrix(column(b, "regs_b"))
@@ -160,6 +163,7 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.mapInArrow(_likely_batches, "a long, b long")
 
 
+@tidy
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows by (b, salt), the centre's own text first: the centre is held, the others pass by."""
     held, centre = None, None

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .jobs import prepare, table
+from .jobs import prepare, table, tidy
 from .text import column, slices
 
 KINDS = ("assign", "access", "hex")
@@ -219,6 +219,7 @@ def suspects(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
 _OUT = pa.schema([("doc_id", pa.int64()), ("kind", pa.list_(pa.string())), ("start", pa.list_(pa.int64())), ("end", pa.list_(pa.int64())), ("base", pa.list_(pa.bool_()))])
 
 
+@tidy
 def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, ids = column(batch, "text"), column(batch, "doc_id")
@@ -249,6 +250,7 @@ def redact(docs: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
     names, schema = docs.columns, docs.schema
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, new = column(batch, "text"), {}
@@ -289,6 +291,7 @@ _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_acces
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spans of all documents, digested."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .jobs import prepare, table
+from .jobs import prepare, table, tidy
 from .text import column, mix, slices
 
 MODEL = os.environ.get("LUMORA_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -288,6 +288,7 @@ def encode(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, variants
     """doc_id, ids, n_tokens, and whether decoding the ids gave the text back (it always should)."""
     prepare(docs.sparkSession)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
         for batch in batches:
@@ -307,6 +308,7 @@ def decode_all(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id and text of encoded documents; null ids give an empty text."""
     prepare(encoded.sparkSession)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
         for b in batches:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .jobs import components, cut, prepare, table
+from .jobs import components, cut, prepare, table, tidy
 from .text import column
 
 LEAST = 0.98
@@ -50,6 +50,7 @@ def trees(n: int) -> int:
     return 1 if not apart else min(MOST_TREES, math.ceil(math.log(MISS) / math.log(apart)))
 
 
+@tidy
 def _unit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo in range(0, b.num_rows, 2000):
@@ -84,6 +85,7 @@ def _leaves(units: np.ndarray, n: int, seed: int, factor: int) -> np.ndarray:
 
 
 def _forest(seed: int, factor: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, dim = column(b, "n").to_numpy(), column(b, "dim").to_numpy()
@@ -150,6 +152,7 @@ def _compare(t: pa.Table) -> pa.Table:
     return pa.table({"cid": ids[involved], "add": add[involved], "root": root, "near": pa.array(lists, pa.list_(pa.struct([("sim", pa.float64()), ("cid", pa.int64())])))})
 
 
+@tidy
 def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sims = np.array([np.frombuffer(x, dtype=np.float64) @ np.frombuffer(y, dtype=np.float64) for x, y in zip(column(b, "unit_a").to_pylist(), column(b, "unit_b").to_pylist(), strict=True)])
@@ -158,6 +161,7 @@ def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _audit_batches(sample):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             label, dim = column(b, "label").to_pylist(), column(b, "dim").to_numpy()
