@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
 
@@ -29,6 +30,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write df as a Parquet table of its own into the shared checkpoint folder, and read that."""
+    spark = df.sparkSession
+    prepare(spark)
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A kernel over batches that gives its memory back when a partition ends; Python workers stay and would keep it."""
 
@@ -53,16 +63,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 MARK_BITS = 1 << 23
 
 
+def _hash(key: str):
+    """Equal for equal keys of any integer type."""
+    return F.xxhash64(F.col(key).cast("long"))
+
+
 def marks(keys: DataFrame, key: str) -> DataFrame:
     """(word, bits): a bitmap of the keys' hashes."""
-    place = F.pmod(F.xxhash64(key), F.lit(MARK_BITS))
-    return keys.select(F.floor(place / 64).cast("long").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({key}), 64) as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    place = F.pmod(_hash(key), F.lit(MARK_BITS))
+    return keys.select(F.floor(place / 64).cast("long").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(cast({key} as long)), 64) as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
 
 
 def marked(df: DataFrame, key: str, bitmap: DataFrame, inside: bool = True) -> DataFrame:
     """The rows of df whose key may be in the bitmap's set (all that are, and few others while the set is small); or those whose key isn't."""
-    place = F.pmod(F.xxhash64(key), F.lit(MARK_BITS))
-    hit = F.expr(f"coalesce(shiftright(bits, cast(pmod(xxhash64({key}), 64) as int)) & 1L, 0L) = 1L")
+    place = F.pmod(_hash(key), F.lit(MARK_BITS))
+    hit = F.expr(f"coalesce(shiftright(bits, cast(pmod(xxhash64(cast({key} as long)), 64) as int)) & 1L, 0L) = 1L")
     out = df.withColumn("word__", F.floor(place / 64).cast("long")).join(F.broadcast(bitmap.withColumnRenamed("word", "word__")), "word__", "inner" if inside else "left")
     return out.where(hit if inside else ~hit).select(*df.columns)
 

@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .jobs import components, cut, marked, marks, prepare, table, tidy, without
 from .text import SPACED, Words, column, mix, shingle_sets, slices
@@ -113,13 +114,17 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
         yield lo, shingle_sets(Words(raw, off, SPACED), SHINGLE)
 
 
+def _digest(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
 @tidy
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = column(batch, "doc_id")
         for lo, sets in _sets(batch):
             regs = registers(sets)
-            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            keys = [_digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [ids[lo : lo + len(sets)], pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([r.tobytes() if len(s) else None for r, s in zip(regs, sets, strict=True)], pa.binary())],
                 names=["doc_id", "n_shingles", "set", "regs"],
@@ -273,19 +278,49 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return sketches, classes, links.union(cut(more.distinct()))
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """Per document row: doc_id, n_shingles, component_id, kept."""
+def _rows(docs: DataFrame) -> DataFrame:
+    """Per document row: doc_id, n_shingles, set, component_id, kept."""
     sketches, classes, links = link(docs)
     roots = components(links).select(F.col("node").alias("cid"), "root")
     of = classes.select("set", "cid").join(roots, "cid", "left").select("set", F.coalesce("root", "cid").alias("root"))
     out = sketches.select("doc_id", "n_shingles", "set").join(of, "set", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("root", "doc_id"), F.lit(False)).alias("kept"))
+    return out.select("doc_id", "n_shingles", "set", F.coalesce("root", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("root", "doc_id"), F.lit(False)).alias("kept"))
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """Per document row: doc_id, n_shingles, component_id, kept."""
+    return _rows(docs).drop("set")
+
+
+def _once(docs: DataFrame, heads: DataFrame) -> DataFrame:
+    """Of the rows whose (doc_id, set) is among heads, the one with the least text for each; equal texts by a hash of the row."""
+    schema = StructType([*docs.schema.fields, StructField("set__", BinaryType())])
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [_digest(s) for _, sets in _sets(batch) for s in sets]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*batch.schema.names, "set__"])
+
+    rows = docs.mapInArrow(run, schema)
+    by = F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema.fields if not f.dataType.simpleString().count("map<")))
+    # the least is kept on either side of the shuffle, however often a row repeats
+    least = rows.groupBy(F.col("doc_id").cast("long").alias("id__"), "set__").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.struct("text", by)).alias("row__"))
+    same = (F.col("id__") == F.col("h.doc_id")) & F.col("set__").eqNullSafe(F.col("h.set"))
+    return least.join(heads.alias("h"), same, "left_semi").select("row__.*")
 
 
 def dedupe(docs: DataFrame) -> DataFrame:
-    """docs without those that aren't kept; rows that repeat a doc_id are left to one row, rows without one stay."""
-    gone = cut(groups(docs).where("not kept and doc_id is not null").select("doc_id").distinct())
-    return without(docs, gone, "doc_id")
+    """docs without those that aren't kept. Of rows that repeat both a doc_id and its shingle set one stays, that of the least text;
+    rows of a doc_id with other sets are judged each by its own; rows without a doc_id stay."""
+    of = _rows(docs).where("doc_id is not null")
+    per = cut(of.groupBy("doc_id").agg(F.max("kept").alias("heads"), F.count("*").alias("n")).where("not heads or n > 1"))
+    out = without(docs, per, "doc_id")
+    again = per.where("heads and n > 1").select("doc_id")
+    if again.isEmpty():
+        return out
+    heads = of.where("kept").join(again, "doc_id", "left_semi").select("doc_id", "set").distinct()
+    return out.union(_once(marked(docs, "doc_id", marks(again, "doc_id")), heads))
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

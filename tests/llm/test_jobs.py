@@ -40,4 +40,10 @@ def test_without(spark, monkeypatch, bits):
     keys = spark.createDataFrame([(3,), (4,), (4,), (99999,)], "k long")
     assert rows(jobs.without(df, keys, "k")) == rows(df.where("k is null or k not in (3, 4)"))
     assert rows(jobs.without(df, keys.limit(0), "k")) == rows(df)
+    assert rows(jobs.without(df.selectExpr("cast(k as int) k", "t"), keys, "k")) == rows(df.where("k is null or k not in (3, 4)"))
     assert set(rows(jobs.marked(df, "k", jobs.marks(keys, "k")))) >= set(rows(df.where("k in (3, 4)")))
+
+
+def test_stored(spark):
+    df = spark.createDataFrame([(1, None), (None, "x")], "k long, t string")
+    assert rows(jobs.stored(df)) == rows(df) and jobs.stored(df.limit(0)).schema == df.schema

@@ -67,10 +67,19 @@ def test_repeats_nulls_and_more_columns(spark):
     df = spark.createDataFrame([(1, "a b c d e", 1, "x"), (1, "a b c d e", 2, "y"), (None, "a b c d e", 3, "z"), (2, "A B C D E", 4, None), (None, "alone here", 5, None)], "doc_id long, text string, cid int, bucket string")
     assert rows(N.groups(df)) == [(None, 1, None, False), (None, 1, 1, False), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
     kept = N.dedupe(df)
-    assert kept.columns == df.columns and rows(kept.select("cid")) == [(1,), (2,), (3,), (5,)]
+    assert kept.columns == df.columns and rows(kept.select("doc_id", "text")) == [(None, "a b c d e"), (None, "alone here"), (1, "a b c d e")]
     assert N.groups(df.limit(0)).count() == 0 and N.dedupe(df.limit(0)).count() == 0
 
 
+def test_dedupe_judges_repeated_ids_by_row(spark):
+    docs = [(1, "a b c d e f")] * 40 + [(3, "p q r s t u"), (5, "p q r s t u"), (5, "unique words stand here alone"), (7, None), (7, ""), (8, "one text of"), (8, "another text of"), (9, "A B C D E F")]
+    want = [(1, "a b c d e f"), (3, "p q r s t u"), (5, "unique words stand here alone"), (7, None), (8, "another text of"), (8, "one text of")]
+    for kind in ("long", "int"):
+        df = spark.createDataFrame([(i, t, {"k": i}) for i, t in docs], f"doc_id {kind}, text string, cid map<string,int>")
+        kept = N.dedupe(df)
+        assert kept.schema.simpleString() == df.schema.simpleString() and rows(kept.select("doc_id", "text")) == want
+
+
 def test_registers_merge():
     rnd = np.random.Generator(np.random.PCG64(1))
     a, b = rnd.integers(0, 1 << 63, 3000, dtype=np.uint64), rnd.integers(0, 1 << 63, 500, dtype=np.uint64)
