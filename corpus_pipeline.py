@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lumora.llm import decontam, mil, neardup, secrets, tokens
-from lumora.llm.jobs import cut, table
+from lumora.llm.jobs import stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,10 +44,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; what each returns is written to the checkpoint folder and read from there by the next."""
+    """All stages on documents; what each returns is written as Parquet to the checkpoint folder and read from there by the next."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = cut(docs)
+            docs = stored(docs)
     return docs
