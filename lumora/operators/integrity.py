@@ -56,3 +56,16 @@ def required(names: list[str], listing: DataFrame) -> DataFrame:
     want = listing.sparkSession.sql("SELECT explode(array(" + ", ".join(f"'{n}'" for n in names) + ")) AS name")
     have = listing.select("name").distinct().withColumn("present", F.lit(True))
     return want.join(have, "name", "left").select("name", F.coalesce("present", F.lit(False)).alias("present"))
+
+
+def agree(left: DataFrame, right: DataFrame, keys: list[str], value: str, tolerance: float = 0.0) -> DataFrame:
+    """keys, expected, found, passed: whether two tables of numbers say the same; a number that one side lacks does not pass."""
+    j = left.select(*keys, F.col(value).alias("expected")).join(right.select(*keys, F.col(value).alias("found")), keys, "full")
+    return j.withColumn("passed", F.coalesce(F.abs(F.col("expected") - F.col("found")) <= tolerance, F.lit(False)))
+
+
+def checklist(numbers: DataFrame, rules: dict[str, str]) -> DataFrame:
+    """Rules (name: SQL over n, a map of section.key to value) on a registry of section, key, value; a number that isn't there fails its rules."""
+    n = numbers.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(".", "section", "key"), "value"))).alias("n"))  # a registry is small
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("check"), F.coalesce(F.expr(rule), F.lit(False)).alias("passed"), F.lit(rule).alias("message")) for name, rule in rules.items())))
+    return n.select(each.alias("c")).select("c.*")

@@ -7,8 +7,9 @@ from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StringIndexer
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,6 +21,14 @@ def features(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     return df.select(F.col(key).alias("id"), F.col(label).cast("string").alias("y"), array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
 
 
+def scaled(train: DataFrame, rows: DataFrame, column: str = "features") -> DataFrame:
+    """rows with each dimension less its mean over train, in units of its (population) deviation; 0 where train has none."""
+    n = train.count()
+    model = StandardScaler(inputCol=column, outputCol="unit__", withMean=True, withStd=True).fit(train)  # by sample deviations
+    wide = ElementwiseProduct(inputCol="unit__", outputCol="scaled__", scalingVec=Vectors.dense([math.sqrt(n / max(1, n - 1))] * model.mean.size))
+    return wide.transform(model.transform(rows)).withColumn(column, F.col("scaled__")).drop("unit__", "scaled__")
+
+
 def _weighted(train: DataFrame) -> tuple[DataFrame, list[str], int]:
     """Balanced weights n / (classes * n of the class), and classes in order."""
     counts = {r.y: r.n for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}  # a row a class

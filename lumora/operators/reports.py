@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scalars import improvement, signed_percent
+
 
 def entries(section: str, one_row: DataFrame, prefix: str = "") -> DataFrame:
     """section, key, value of each column of a table with one row."""
@@ -44,6 +46,31 @@ def runs(listing: DataFrame, most: int | None = None) -> DataFrame:
     return out if most is None else out.where(F.col("position") <= most)
 
 
+def stages(parts: list[tuple[str, DataFrame]], label: str) -> DataFrame:
+    """position, stage, n_sequences, n_classes of the steps by which a data set came about, in their order."""
+    rows = [df.agg(F.count("*").alias("n_sequences"), F.countDistinct(label).alias("n_classes")).select(F.lit(i).cast("long").alias("position"), F.lit(name).alias("stage"), "n_sequences", "n_classes") for i, (name, df) in enumerate(parts, 1)]
+    return registry(rows)
+
+
+def ablation(rows: DataFrame, name: str, metrics: list[str], base: str) -> DataFrame:
+    """name, the metrics to four places, and by how much the first of them is above that of the row called base, as text."""
+    b = rows.where(F.col(name) == base).agg(F.max(metrics[0]).alias("base__"))  # one row
+    return rows.crossJoin(F.broadcast(b)).select(name, *(F.round(m, 4).alias(m) for m in metrics), signed_percent(improvement(F.col(metrics[0]), F.col("base__"))).alias("improvement"))
+
+
+def methods(rows: DataFrame, order: list[str]) -> DataFrame:
+    """position, method, accuracy, macro_f1, log_loss (N/A where there is none, or 0): methods in the order given, then the others by name."""
+    place = F.coalesce(F.array_position(F.array(*(F.lit(x) for x in order)), F.col("method")), F.lit(0))
+    at = F.row_number().over(W.orderBy(F.when(place > 0, place).otherwise(len(order) + 1), "method"))  # a row a method
+    loss = F.when(F.coalesce(F.col("log_loss"), F.lit(0.0)) != 0, F.round("log_loss", 4).cast("string")).otherwise("N/A")
+    return rows.select(at.alias("position"), "method", *(F.round(F.coalesce(m, F.lit(0.0)), 4).alias(m) for m in ("accuracy", "macro_f1")), loss.alias("log_loss"))
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """old with the rows of new, which replace those with the same keys."""
+    return old.join(new.select(*keys), keys, "left_anti").select(*old.columns).unionByName(new)
+
+
 def run_name() -> str:
     from datetime import datetime, timezone
 

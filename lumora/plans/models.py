@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from ..functions import scalars
-from ..operators import learning, metrics, reports, vectors
+from ..functions import motifs, scalars
+from ..operators import integrity, learning, metrics, prediction, reports, vectors
 from .common import table, wide
 
 QUERIES, ORACLE = {}, {}
@@ -255,9 +256,82 @@ def _chance(s, d):
 
 @query("motif_logreg")
 def _motif_model(s, d):
-    from ..functions import motifs
-
     docs = table(s, d, "documents").select("doc_id", F.col("lang").alias("y"), F.array(*(c.cast("double") for c in motifs.flags(F.col("text")))).alias("v"))
     x = learning.features(docs, "doc_id", "v", "y").cache()
     _, names, scored = learning.logistic(x.where("id % 5 <> 0"), x.where("id % 5 = 0"), 50)
     return learning.distribution(scored, names)
+
+
+@query("standardised", """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), m AS (SELECT avg(e[1]) AS a, stddev_pop(e[1]) AS s, avg(e[64]) AS b, stddev_pop(e[64]) AS t FROM e WHERE vec_id % 5 <> 0)
+SELECT vec_id, round((e[1] - a) / s, 6) AS first, round((e[64] - b) / t, 6) AS last FROM e, m WHERE vec_id % 5 = 0""")
+def _standardised(s, d):
+    q, g = (learning.features(x, "vec_id", "embedding", "label") for x in _sides(s, d))
+    v = learning.scaled(g, q).select(F.col("id").alias("vec_id"), vector_to_array("features").alias("v"))
+    return v.select("vec_id", F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(F.get("v", F.lit(63)), 6).alias("last"))
+
+
+_ROW = "SELECT {} AS position, '{}' AS stage, count(*) AS n_sequences, count(DISTINCT lang) AS n_classes FROM documents {}"
+
+
+@query("dataset_stages", " UNION ALL ".join(_ROW.format(*x) for x in ((1, "documents", ""), (2, "labelled", "WHERE doc_id IN (SELECT doc_id FROM labels)"), (3, "good", "WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)"))))
+def _dataset(s, d):
+    docs, labels = table(s, d, "documents").select("doc_id", "lang"), table(s, d, "labels")
+    return reports.stages([("documents", docs), ("labelled", docs.join(labels, "doc_id", "left_semi")), ("good", docs.join(labels.where("quality = 1"), "doc_id", "left_semi"))], "lang")
+
+
+@query("layer_ablation", """WITH x AS (SELECT o_orderpriority AS name, avg(o_totalprice) / 300000 AS ari, avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END) AS nmi FROM orders GROUP BY 1), b AS (SELECT ari AS v FROM x WHERE name = '3-MEDIUM')
+SELECT name, round(ari, 4) AS ari, round(nmi, 4) AS nmi, printf('%+.1f%%', (ari - v) * 100 / v) AS improvement FROM x, b""")
+def _ablation(s, d):
+    x = table(s, d, "orders").groupBy(F.col("o_orderpriority").alias("name")).agg((F.avg("o_totalprice") / 300000).alias("ari"), F.avg(F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0)).alias("nmi"))
+    return reports.ablation(x, "name", ["ari", "nmi"], "3-MEDIUM")
+
+
+_LOSS = "CASE c_mktsegment WHEN 'BUILDING' THEN NULL WHEN 'FURNITURE' THEN 0.0 ELSE avg(abs(c_acctbal)) / 10000 END"
+
+
+@query("method_table", f"""WITH x AS (SELECT c_mktsegment AS method, avg(CASE WHEN c_acctbal > 0 THEN 1.0 ELSE 0.0 END) AS accuracy, avg(CASE WHEN c_acctbal > 5000 THEN 1.0 ELSE 0.0 END) AS macro_f1, {_LOSS} AS log_loss FROM customer GROUP BY 1)
+SELECT row_number() OVER (ORDER BY CASE method WHEN 'MACHINERY' THEN 1 WHEN 'AUTOMOBILE' THEN 2 ELSE 3 END, method) AS position, method, round(accuracy, 4) AS accuracy, round(macro_f1, 4) AS macro_f1, CASE WHEN coalesce(log_loss, 0) <> 0 THEN CAST(round(log_loss, 4) AS VARCHAR) ELSE 'N/A' END AS log_loss FROM x""")
+def _methods(s, d):
+    share = lambda least: F.avg(F.when(F.col("c_acctbal") > least, 1.0).otherwise(0.0))
+    x = table(s, d, "customer").groupBy("c_mktsegment").agg(share(0).alias("accuracy"), share(5000).alias("macro_f1"), F.expr(_LOSS).alias("log_loss"))
+    return reports.methods(x.withColumnRenamed("c_mktsegment", "method"), ["MACHINERY", "AUTOMOBILE"])
+
+
+@query("registry_upsert", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN -p_size ELSE p_size END AS p_size FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0")
+def _upsert(s, d):
+    part = table(s, d, "part").select("p_partkey", "p_size")
+    return reports.upsert(part.where("p_partkey % 2 = 0"), part.where("p_partkey % 3 = 0").withColumn("p_size", -F.col("p_size")), ["p_partkey"])
+
+
+@query("numbers_agree", """WITH a AS (SELECT c_nationkey AS nation, count(*) AS expected FROM customer GROUP BY 1), b AS (SELECT s_nationkey AS nation, count(*) AS found FROM supplier GROUP BY 1)
+SELECT nation, expected, found, coalesce(abs(expected - found) <= 55, false) AS passed FROM a FULL JOIN b USING (nation)""")
+def _agree(s, d):
+    n = lambda name, key: table(s, d, name).groupBy(F.col(key).alias("nation")).agg(F.count("*").alias("n"))
+    return integrity.agree(n("customer", "c_nationkey"), n("supplier", "s_nationkey"), ["nation"], "n", 55)
+
+
+_RULES = {"several_classes": "n['dataset.classes'] > 1", "enough_rows": "n['dataset.n'] >= n['dataset.classes']", "few_rows": "n['dataset.n'] < 10", "splits": "n['splits.n'] > 0"}
+
+
+@query("report_checklist", "WITH e AS (SELECT count(*) AS n, count(DISTINCT label) AS c FROM embeddings) " + " UNION ALL ".join(f"""SELECT '{k}' AS "check", {sql} AS passed, '{_RULES[k].replace("'", "''")}' AS message FROM e""" for k, sql in zip(_RULES, ("c > 1", "n >= c", "n < 10", "false"), strict=True)))
+def _checklist(s, d):
+    return integrity.checklist(reports.entries("dataset", table(s, d, "embeddings").agg(F.count("*").alias("n"), F.countDistinct("label").alias("classes"))), _RULES)
+
+
+_FOUND = " + ".join(f"CAST(regexp_matches(piece, '{p}') AS BIGINT)" for _, p in motifs.FLAGS)
+
+
+@query("predict_batch", f"""WITH {_VOTES}, b AS (SELECT l_orderkey AS id, l_linenumber AS a FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount, l_extendedprice DESC, l_linenumber) = 1),
+t AS (SELECT query_id AS id, string_agg(label || ':' || p, ';' ORDER BY p DESC, label) AS classes FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p DESC, label) AS k FROM v) WHERE k <= 3 GROUP BY 1),
+e AS (SELECT query_id AS id, string_agg(CAST(gallery_id AS VARCHAR), ',' ORDER BY rank) AS exemplars FROM ranked WHERE rank <= 5 GROUP BY 1),
+sq AS (SELECT doc_id AS id, upper(regexp_replace(replace(text, 'ß', 'SS'), '\\s+', '', 'g')) AS seq FROM documents),
+j AS (SELECT sq.id, substring(seq, CAST(a AS BIGINT), 100) AS piece, classes, exemplars, predicted, confidence, CASE WHEN NOT coalesce(length(seq) >= 50, false) THEN 'invalid sequence' WHEN a IS NULL THEN 'no domain found' WHEN classes IS NULL THEN 'no embedding' ELSE 'ok' END AS status FROM sq LEFT JOIN b USING (id) LEFT JOIN t USING (id) LEFT JOIN e USING (id) LEFT JOIN pred ON query_id = sq.id)
+SELECT id, status, CASE WHEN status = 'ok' THEN md5(piece) END AS domain, CASE WHEN status = 'ok' THEN predicted END AS predicted, CASE WHEN status = 'ok' THEN confidence END AS confidence,
+  CASE WHEN status = 'ok' THEN CASE WHEN confidence >= 0.7 THEN 'high' ELSE 'low' END END AS flag, CASE WHEN status = 'ok' THEN classes END AS classes, CASE WHEN status = 'ok' THEN exemplars END AS exemplars, CASE WHEN status = 'ok' THEN {_FOUND} END AS n_motifs FROM j""")
+def _predict(s, d):
+    top = vectors.top_k(*_sides(s, d), 5)
+    seqs = table(s, d, "documents").select(F.col("doc_id").alias("id"), scalars.normalised(F.col("text")).alias("seq"))
+    hits = table(s, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("env_from"), (F.col("l_linenumber") + 99).alias("env_to"), F.col("l_discount").alias("evalue"), F.col("l_extendedprice").alias("bitscore"))
+    out = prediction.predict(seqs, hits, vectors.votes(top), top, F.length("seq") >= 50)
+    classes = F.array_join(F.transform("classes", lambda x: F.concat_ws(":", x["label"], x["p"].cast("string"))), ";")
+    return out.withColumns({"domain": F.md5("domain"), "classes": classes, "exemplars": F.array_join(F.transform("exemplars", lambda x: x.cast("string")), ",")})

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lumora.operators import curation, grouping, integrity, learning, metrics, reports, vectors
+from lumora.operators import curation, grouping, integrity, learning, metrics, prediction, reports, vectors
 
 from .conftest import rows
 
@@ -176,3 +176,44 @@ def test_streaming_dedup(spark, tmp_path):
     stream = spark.readStream.schema("id long, text string, ts timestamp").parquet(src)
     dedup.write(dedup.first_seen(stream, F.upper("text"), "ts").drop("group_key"), out, str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(out).count() == 2
+
+
+def test_report_tables(spark):
+    m = spark.createDataFrame([("z", 0.5, 0.25, 0.0), ("b", 0.12345, None, None), ("knn", 0.9, 0.8, 1.5)], "method string, accuracy double, macro_f1 double, log_loss double")
+    assert rows(reports.methods(m, ["knn", "absent"])) == [(1, "knn", 0.9, 0.8, "1.5"), (2, "b", 0.1235, 0.0, "N/A"), (3, "z", 0.5, 0.25, "N/A")]
+    a = spark.createDataFrame([("l33", 0.2), ("l20", 0.3), ("cls", 0.1)], "name string, ari double")
+    assert rows(reports.ablation(a, "name", ["ari"], "l33")) == [("cls", 0.1, "-50.0%"), ("l20", 0.3, "+50.0%"), ("l33", 0.2, "+0.0%")]
+    assert rows(reports.stages([("all", m), ("none", m.limit(0))], "method")) == [(1, "all", 3, 3), (2, "none", 0, 0)]
+    old, new = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
+    assert rows(reports.upsert(old, new, ["k"])) == [(1, "a"), (2, "c"), (3, "d")]
+    assert rows(reports.upsert(old.limit(0), new, ["k"])) == [(2, "c"), (3, "d")]
+
+
+def test_numbers_and_rules(spark):
+    a = spark.createDataFrame([("x", 1.0), ("y", 2.0), ("z", None)], "k string, v double")
+    b = spark.createDataFrame([("x", 1.05), ("y", 3.0), ("w", 1.0)], "k string, v double")
+    got = {r.k: r.passed for r in integrity.agree(a, b, ["k"], "v", 0.1).collect()}
+    assert got == {"x": True, "y": False, "z": False, "w": False}
+    n = spark.createDataFrame([("d", "n", 5.0), ("d", "none", None)], "section string, key string, value double")
+    rules = {"many": "n['d.n'] > 3", "few": "n['d.n'] < 3", "null": "n['d.none'] > 0", "absent": "n['x.y'] = 1"}
+    assert {r.check: r.passed for r in integrity.checklist(n, rules).collect()} == {"many": True, "few": False, "null": False, "absent": False}
+    assert not any(r.passed for r in integrity.checklist(n.limit(0), rules).collect())
+
+
+def test_scaled(spark):
+    x = learning.features(spark.createDataFrame([(1, [1.0, 5.0], "a"), (2, [3.0, 5.0], "b")], "k long, v array<double>, y string"), "k", "v", "y")
+    assert sorted(tuple(r.features) for r in learning.scaled(x, x).collect()) == [(-1.0, 0.0), (1.0, 0.0)]
+
+
+def test_predict(spark):
+    seqs = spark.createDataFrame([(1, "MKVAIKDFGA" * 6), (2, "SHORT"), (3, "M" * 60), (4, "M" * 60), (5, None)], "id long, seq string")
+    hits = spark.createDataFrame([(1, "x", 1, 10, 1e-3, 9.0), (1, "y", 2, 9, 1e-9, 5.0), (1, "z", 3, 9, 1e-9, 5.0), (2, "x", 1, 2, 0.0, 1.0), (4, "x", 1, 5, 0.0, 1.0)], "id long, name string, env_from int, env_to int, evalue double, bitscore double")
+    scored = spark.createDataFrame([(1, "B", 0.4), (1, "A", 0.4), (1, "C", 0.1), (1, "D", 0.1), (3, "A", 1.0)], "query_id long, label string, p double")
+    near = spark.createDataFrame([(1, 2, 70), (1, 1, 90)], "query_id long, rank int, gallery_id long")
+    got = {r.id: r for r in prediction.predict(seqs, hits, scored, near, F.length("seq") >= 50).collect()}
+    assert {i: r.status for i, r in got.items()} == {1: "ok", 2: "invalid sequence", 3: "no domain found", 4: "no embedding", 5: "invalid sequence"}
+    r = got[1]
+    assert (r.domain, r.predicted, r.confidence, r.flag, r.exemplars) == ("KVAIKDFG", "A", 0.4, "low", [90, 70])
+    assert [tuple(c) for c in r.classes] == [("A", 0.4), ("B", 0.4), ("C", 0.1)] and r.n_motifs > 0
+    assert all(got[i].predicted is None and got[i].domain is None for i in (2, 3, 4, 5))
+    assert prediction.predict(seqs.limit(0), hits, scored, near, F.lit(True)).count() == 0
