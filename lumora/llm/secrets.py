@@ -38,7 +38,7 @@ RULES = (("assign", _ASSIGN, 2, 12), ("access", _ACCESS, 0, 18), ("hex", _HEX, 0
 _WORDS = re.compile("pass(?:word|wd)|secret|token|api_?key")
 
 _URL = re.compile("(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+_ESCAPE = re.compile(r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 
 #: What one compressed layer may grow to, in bytes; beyond it the layer is scanned in pieces of this size
@@ -62,7 +62,7 @@ def _unescape(m: re.Match) -> list[tuple[str, int, int]]:
         high, low = int(m[0][2:6], 16), int(m[0][8:12], 16)
         code = 0x10000 + ((high - 0xD800) << 10) + low - 0xDC00
     else:
-        code = int(m[4]) if m[4] else int(m[1] or m[2] or m[3], 16)
+        code = int(m[4]) if m[4] else int(m[1] or m[2] or m[3] or m[5] or m[6], 16)
     return [(chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd", m.start(), m.end())]
 
 

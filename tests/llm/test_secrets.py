@@ -37,6 +37,8 @@ def test_base_rules():
         lambda s: base64.b64encode(base64.b64encode(zlib.compress(s.encode()))).decode().rstrip("="),
         lambda s: "".join(f"\\u{ord(c):04x}" for c in s),
         lambda s: "".join(f"&#{ord(c)};" for c in s),
+        lambda s: "".join(f"\\u{{{ord(c):x}}}" for c in s),
+        lambda s: "".join(f"\\U{ord(c):08x}" for c in s),
     ],
 )
 def test_layers(wrap):
