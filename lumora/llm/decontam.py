@@ -12,7 +12,7 @@ Only a filter of fixed size (FILTER_BITS) is broadcast: it says which hashes can
 saves rows and decides nothing; the join and the extension do.
 
 Null and empty texts have no words and no hit. Every document row has one result row; rows that share a doc_id
-are counted together for the hits and apart for n_words. Items with no words match nothing; items that repeat
+are counted together for the hits and apart for n_words; rows without a doc_id have no hits. Items with no words match nothing; items that repeat
 an item_id count once. Further columns are ignored; empty tables give empty results or no hits.
 """
 

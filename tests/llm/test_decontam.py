@@ -55,5 +55,6 @@ def test_empty_tables_and_more_columns(spark):
     items = spark.createDataFrame([(5, "Two three")], "item_id long, text string")
     assert rows(D.hits(spark, docs.where("doc_id = 1"), items)) == [(1, 3, 2, ["5"])]
     assert rows(D.hits(spark, docs.where("doc_id = 1"), items.limit(0))) == [(1, 3, 0, [])]
+    assert rows(D.hits(spark, docs, items)) == [(None, 3, 0, []), (1, 3, 2, ["5"])]
     assert D.hits(spark, docs.limit(0), items).count() == 0
     assert rows(D.clean(docs, items).select("at")) == [(1,)] and D.clean(docs, items.limit(0)).count() == 2
