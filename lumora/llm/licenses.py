@@ -3,7 +3,7 @@
 Of every text the passages that can be a notice are taken: each line and each paragraph (lines between blank ones)
 that has an anchor word (``ANCHORS``); of a licence file the whole text as well. Terms are runs of a-z and 0-9 of
 the lower-cased text. A term's weight is tf * ln((N + 1) / (df + 1)); df counts, over all texts, those that have the
-term, for the terms that templates have, and is 0 for any other term. A passage's licence is the template with the
+term, whether templates have it or not. A passage's licence is the template with the
 largest cosine, the first name on a tie, if that is THRESHOLD or more; a text's is that of its best passage.
 
 A text without a licence of its own inherits that of the nearest ancestor directory (its own first) with a licence
@@ -50,6 +50,7 @@ ANCHORS = ("license", "licensed", "licence", "licenced", "licenses", "copyright"
 THRESHOLD = 0.7
 LICENSE_NAME = "(?i)^(un)?licen[sc]e|^copying|^notice"
 DIGITS = 6
+SALTS = 32
 
 
 def _terms(text: Column) -> Column:
@@ -70,20 +71,22 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     own = F.coalesce(F.col("is_file"), F.element_at(F.split("path", "/"), -1).rlike(LICENSE_NAME), F.lit(False))
     files = files.select("doc_id", "path", "text", own.alias("is_file"))
     anchor = "(?i)\\b(" + "|".join(ANCHORS) + ")\\b"
-    vocabulary = sorted({t for _, text in TEMPLATES for t in _words(text)})
-    terms = F.array(*(F.lit(t) for t in vocabulary))
     passages = F.when(F.col("text").rlike(anchor), F.array_distinct(F.concat(F.split("text", "\n"), F.split("text", "\n[ \t\r]*\n"), F.when(F.col("is_file"), F.array("text")).otherwise(F.array().cast("array<string>")))))
     kept = F.filter(passages, lambda p: p.rlike(anchor))
-    # one pass over the texts: which template terms each has, and its passages
-    seen = cut(files.select("doc_id", "path", "is_file", F.array_intersect(_terms(F.col("text")), terms).alias("terms"), F.coalesce(kept, F.array().cast("array<string>")).alias("passages")))
+    seen = cut(files.select("doc_id", "path", "is_file", F.coalesce(kept, F.array().cast("array<string>")).alias("passages")))
     n = F.broadcast(seen.agg(F.count("*").alias("n")))  # one row
-    df = seen.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))  # no more rows than the templates have terms
     idf = lambda f: F.log((F.col("n") + 1) / (F.coalesce(f, F.lit(0)) + 1))
-    words = _templates(spark).join(F.broadcast(df), "term", "left").crossJoin(n).select("template", "license", "term", (F.col("tf") * idf(F.col("df"))).alias("w"))
-    norm = words.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     units = seen.where("size(passages) > 0").select("doc_id", F.explode("passages").alias("passage")).distinct().select("doc_id", F.xxhash64("passage").alias("unit"), _terms(F.col("passage")).alias("words"))
-    tf = units.select("doc_id", "unit", F.explode("words").alias("term")).groupBy("doc_id", "unit", "term").agg(F.count("*").alias("tf"))
-    weighed = tf.join(F.broadcast(df), "term", "left").crossJoin(n).select("doc_id", "unit", "term", (F.col("tf") * idf(F.col("df"))).alias("w"))
+    tf = cut(units.select("doc_id", "unit", F.explode("words").alias("term")).groupBy("doc_id", "unit", "term").agg(F.count("*").alias("tf")))
+    templates = _templates(spark)
+    # over all texts; counted before the semi-join, so that a common term is a row a task
+    counts = files.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = cut(counts.join(tf.select("term").union(templates.select("term")).distinct(), "term", "left_semi"))
+    words = templates.join(df.join(F.broadcast(templates.select("term").distinct()), "term", "left_semi").hint("broadcast"), "term", "left").crossJoin(n).select("template", "license", "term", (F.col("tf") * idf(F.col("df"))).alias("w"))
+    norm = words.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    # a common term has many passages, so its count is there SALTS times
+    salted = df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    weighed = tf.withColumn("salt", F.pmod("unit", F.lit(SALTS)).cast("int")).join(salted, ["term", "salt"], "left").crossJoin(n).select("doc_id", "unit", "term", (F.col("tf") * idf(F.col("df"))).alias("w"))
     length = weighed.groupBy("doc_id", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     dots = weighed.join(F.broadcast(words.withColumnRenamed("w", "t")), "term").groupBy("doc_id", "unit", "template", "license").agg(F.sum(F.col("w") * F.col("t")).alias("dot"))
     scored = dots.join(length, ["doc_id", "unit"]).join(F.broadcast(norm), "template").withColumn("cosine", F.round(F.try_divide("dot", F.col("length") * F.col("norm")), DIGITS))
@@ -103,10 +106,6 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
 
 
-def _words(text: str) -> list[str]:
-    return "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
-
-
 #: Documents have no paths: this gives each one by its source, language and id, some of them higher up.
 _PATH = """concat_ws('/', '', coalesce(source, 'none'), CASE WHEN doc_id % 1000 = 0 THEN NULL ELSE coalesce(lang, 'none') END,
   CASE WHEN doc_id % 50 = 0 THEN NULL ELSE concat('d', CAST(floor(doc_id / 64) AS BIGINT)) END, concat(doc_id, '.txt'))"""

@@ -1,3 +1,7 @@
+import math
+import re
+from collections import Counter
+
 from lumora.llm import licenses as L
 
 from ..conftest import rows
@@ -30,3 +34,26 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "/a", "x", None)], "doc_id long, path string, text string, is_file boolean")
     plan = L.scan(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def cosines(texts, passage):
+    """The largest cosine of a passage to each licence, by a plain count over all texts."""
+    words = lambda t: re.findall("[a-z0-9]+", (t or "").lower())
+    df = Counter(w for t in texts for w in set(words(t)))
+    weigh = lambda t: {w: n * math.log((len(texts) + 1) / (df[w] + 1)) for w, n in Counter(words(t)).items()}
+    norm = lambda a: math.sqrt(sum(x * x for x in a.values()))
+    p, out = weigh(passage), {}
+    for name, t in L.TEMPLATES:
+        q = weigh(t)
+        out[name] = max(out.get(name, 0), sum(x * q.get(w, 0) for w, x in p.items()) / (norm(p) * norm(q)))
+    return out
+
+
+def test_document_frequencies_are_those_of_all_terms(spark):
+    notice = "Released under the MIT License, as the rest is."
+    texts = [notice, None, ""] + ["as the rest is under it"] * 900 + [f"word{i}" for i in range(97)]
+    df = spark.createDataFrame([(i, f"/{i}/x", t, None) for i, t in enumerate(texts)], "doc_id long, path string, text string, is_file boolean")
+    got = {r[0]: (r[2], r[3]) for r in rows(L.scan(df))}
+    want = cosines(texts, notice)
+    assert got[0][0] == max(want, key=want.get) == "MIT" and abs(got[0][1] - want["MIT"]) < 2e-6 and got[0][1] >= L.THRESHOLD
+    assert all(v == (None, None) for k, v in got.items() if k)
