@@ -5,11 +5,12 @@ A text gets one leading space, spaces become U+2581, and since no piece goes on
 the text falls into chunks - a run of U+2581 and what follows up to the next - that are encoded on their own.
 
 In a chunk, an agenda holds every neighbouring pair of symbols whose join is a piece, ordered by the piece's score,
-the leftmost first on a tie. A pair that comes up is skipped if a hash keyed by the seed, the chunk, its variant and
-the pair's place says so (with probability ``dropout``), and is merged otherwise; a merge puts the pairs it forms
-on the agenda. Which of ``variants`` segmentations an occurrence of a chunk takes is hashed from the seed, the
-document's id and the chunk's place, so one word is cut in different ways through a corpus, yet each run gives
-the same ids on any number of executors. With dropout 0 the ids are those of the SentencePiece library.
+the leftmost first on a tie. A pair that comes up is skipped if a hash keyed by the seed, the document's id, the chunk,
+its place in the document and the pair's place says so (with probability ``dropout``), and is merged otherwise; a merge
+puts the pairs it forms on the agenda. So each occurrence of a word is drawn on its own, yet each run gives the same ids
+on any number of executors. Occurrences of a chunk that skip the same merges share the work (see ``draw``), the draws are
+never shared; with ``variants`` above 0 there are only so many draws of a chunk. With dropout 0 the ids are those of the
+SentencePiece library.
 
 Characters without a piece, and U+2581 where the text itself has it, become byte pieces, so that decoding gives
 back every text exactly. Null and empty texts have no ids. Rows are independent; further columns are ignored.
@@ -31,9 +32,10 @@ from .jobs import prepare, table, tidy
 from .text import column, mix, slices
 
 MODEL = os.environ.get("LUMORA_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
-DROPOUT, SEED, VARIANTS = 0.1, 17, 4
+DROPOUT, SEED, VARIANTS = 0.1, 17, 0
 SPACE = "▁"
 _LONG = 48  # chunks of more symbols go through the agenda one by one, in n log n steps
+_SHARED = 3  # skipped merges up to which occurrences share their work; beyond, each is merged by itself
 _U = np.uint64
 
 
@@ -107,13 +109,20 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _key(chunk: np.ndarray | int, start: np.ndarray | int, mid: np.ndarray | int, end: np.ndarray | int) -> np.ndarray:
-    """The keyed hash of a pair: chunk is the hash of seed, content and variant."""
+def _place(start: np.ndarray | int, mid: np.ndarray | int, end: np.ndarray | int) -> np.ndarray:
+    return np.asarray(start, dtype=_U) << _U(42) ^ np.asarray(mid, dtype=_U) << _U(21) ^ np.asarray(end, dtype=_U)
+
+
+def _draw(chunk: np.ndarray | int, place: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        place = np.asarray(start, dtype=_U) << _U(42) ^ np.asarray(mid, dtype=_U) << _U(21) ^ np.asarray(end, dtype=_U)
         return mix(np.asarray(chunk, dtype=_U) ^ place * _U(0x9E3779B97F4A7C15))
 
 
+def _key(chunk: np.ndarray | int, start: np.ndarray | int, mid: np.ndarray | int, end: np.ndarray | int) -> np.ndarray:
+    """The keyed hash of a pair: chunk is the hash of seed, content, document and place."""
+    return _draw(chunk, _place(start, mid, end))
+
+
 def _limit(dropout: float) -> np.uint64:
     return _U(min((1 << 64) - 1, int(dropout * 2.0**64)))
 
@@ -146,8 +155,11 @@ def agenda(v: Vocabulary, ids: list[int], chunk: int, dropout: float) -> list[in
     return [own[i] for i in range(n) if live[i]]
 
 
-def merge_all(v: Vocabulary, ids: np.ndarray, bounds: np.ndarray, chunks: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-    """What every chunk's agenda ends with: symbols, and bounds by chunk. One merge a chunk in each round, all chunks at once."""
+def merge_all(v: Vocabulary, ids: np.ndarray, bounds: np.ndarray, chunks: np.ndarray, dropout: float, barred: np.ndarray | None = None, log: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """What every chunk's agenda ends with: symbols, and bounds by chunk. One merge a chunk in each round, all chunks at once.
+
+    barred: places that each chunk (of _LONG symbols at most) skips, in columns. log gets chunks and places of each round's merges.
+    """
     sizes = np.diff(bounds)
     limit = _limit(dropout)
     seg = np.repeat(np.arange(len(sizes)), sizes)
@@ -165,6 +177,7 @@ def merge_all(v: Vocabulary, ids: np.ndarray, bounds: np.ndarray, chunks: np.nda
     ids, seg, start = ids[keep], seg[keep], start[keep]
     end = start + 1
     m = np.full(len(ids), -1, dtype=np.int32)  # what a symbol and the next join to, if that may be merged
+    order = np.full(len(ids), 1 << 62, dtype=np.int64)  # when: by the score, then from the left
     fresh = np.arange(len(ids))
     while len(ids):
         look = fresh[fresh < len(ids) - 1]
@@ -175,9 +188,17 @@ def merge_all(v: Vocabulary, ids: np.ndarray, bounds: np.ndarray, chunks: np.nda
             near = np.flatnonzero(got >= 0)
             at = look[near]
             got[near[_key(chunks[seg[at]], start[at], start[at + 1], end[at + 1]) < limit]] = -1
+        if barred is not None and barred.shape[1]:
+            near = np.flatnonzero(got >= 0)
+            at = look[near]
+            places = _place(start[at], start[at + 1], end[at + 1])
+            for column_ in barred.T:
+                got[near[column_[seg[at]] == places]] = -1
         m[look] = got
         first = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
-        order = np.where(m >= 0, v.rank[m] << 24 | start, 1 << 62)
+        order[fresh] = 1 << 62
+        on = look[got >= 0]
+        order[on] = v.rank[m[on]] << 24 | start[on]
         best = np.minimum.reduceat(order, first)
         open_ = best < 1 << 62
         count = np.diff(np.concatenate((first, [len(ids)])))
@@ -189,15 +210,19 @@ def merge_all(v: Vocabulary, ids: np.ndarray, bounds: np.ndarray, chunks: np.nda
         if not len(ids):
             break
         left = np.flatnonzero(order == np.repeat(best, count))  # one a chunk
+        if log is not None:
+            log.append((seg[left], _place(start[left], start[left + 1], end[left + 1])))
         ids[left], end[left] = m[left], end[left + 1]
         gone = np.zeros(len(ids), dtype=bool)
         gone[left + 1] = True
-        ids, seg, start, end, m = (x[~gone] for x in (ids, seg, start, end, m))
+        ids, seg, start, end, m, order = (x[~gone] for x in (ids, seg, start, end, m, order))
         left = left - np.arange(len(left))
         prior = left - 1
         prior = prior[prior >= 0]
         prior = prior[seg[prior] == seg[prior + 1]]
-        fresh = np.unique(np.concatenate((left, prior)))
+        near = np.zeros(len(ids), dtype=bool)
+        near[left] = near[prior] = True
+        fresh = np.flatnonzero(near)
     if not done_ids:
         return np.zeros(0, dtype=np.int32), np.zeros(len(sizes) + 1, dtype=np.int64)
     ids, seg, at = np.concatenate(done_ids), np.concatenate(done_seg), np.concatenate(done_at)
@@ -205,12 +230,75 @@ def merge_all(v: Vocabulary, ids: np.ndarray, bounds: np.ndarray, chunks: np.nda
     return ids[order], np.concatenate(([0], np.cumsum(np.bincount(seg, minlength=len(sizes)))))
 
 
+def draw(v: Vocabulary, ids: np.ndarray, bounds: np.ndarray, kinds: np.ndarray, which: np.ndarray, keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What the agenda of every occurrence of a chunk ends with: symbols, their bounds by result, the chunk of each result, and the result of each occurrence.
+
+    ids and bounds hold all chunks, kinds numbers each by its content, which has the first of a content, and keys are the
+    hashes that decide what each skips. Those that skip none of the merges of their content's agenda end as it does; those
+    whose first skipped merge is the same go on together from there, up to _SHARED skips; then each goes on alone.
+    """
+
+    def flat(chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = np.diff(bounds)[chunks]
+        to = np.concatenate(([0], np.cumsum(n)))
+        return ids[np.repeat(bounds[chunks] - to[:-1], n) + np.arange(to[-1])], to
+
+    symbols, lengths, sources = [], [], []
+    result, total = np.zeros(len(keys), dtype=np.int64), 0
+
+    def add(got: np.ndarray, gb: np.ndarray, chunks: np.ndarray) -> None:
+        nonlocal total
+        symbols.append(got), lengths.append(np.diff(gb)), sources.append(chunks)
+        total += len(chunks)
+
+    limit = _limit(dropout)
+    if not limit:
+        add(*merge_all(v, *flat(which), np.zeros(len(which), dtype=_U), 0.0), which)
+        result = kinds
+    else:
+        short = np.diff(bounds) <= _LONG
+        own = [np.flatnonzero(~short)]
+        occ = np.flatnonzero(short)
+        nodes, node = np.unique(kinds[occ], return_inverse=True)
+        chunks, barred, done = which[nodes], np.zeros((len(nodes), 0), dtype=_U), np.zeros(len(nodes), dtype=np.int64)
+        for _ in range(_SHARED + 1):
+            if not len(occ):
+                break
+            log: list = []
+            got, gb = merge_all(v, *flat(chunks), np.zeros(len(chunks), dtype=_U), 0.0, barred, log)
+            seg = np.concatenate([x for x, _ in log]) if log else np.zeros(0, dtype=np.int64)
+            place = np.concatenate([x for _, x in log]) if log else np.zeros(0, dtype=_U)
+            order = np.argsort(seg, kind="stable")
+            place, merges = place[order], np.bincount(seg, minlength=len(chunks))
+            begin = np.cumsum(merges) - merges
+            # each occurrence against the merges that it hasn't been held against
+            n = (merges - done)[node]
+            to = np.cumsum(n) - n
+            row = np.repeat(np.arange(len(occ)), n)
+            nth = np.arange(len(row)) - to[row] + done[node[row]]
+            skip = np.flatnonzero(_draw(keys[occ[row]], place[begin[node[row]] + nth]) < limit)
+            skip = skip[np.concatenate(([True], row[skip][1:] != row[skip][:-1]))] if len(skip) else skip
+            ends = np.ones(len(occ), dtype=bool)
+            ends[row[skip]] = False
+            result[occ[ends]] = total + node[ends]
+            add(got, gb, chunks)
+            branch, node_ = np.unique(node[row[skip]] * (_LONG + 1) + nth[skip], return_inverse=True)
+            occ, parent, done = occ[row[skip]], branch // (_LONG + 1), branch % (_LONG + 1)
+            barred = np.column_stack((barred[parent], place[begin[parent] + done]))
+            chunks, node = chunks[parent], node_
+        own = np.concatenate((*own, occ))
+        if len(own):
+            result[own] = total + np.arange(len(own))
+            add(*merge_all(v, *flat(own), keys[own], dropout), own)
+    return np.concatenate(symbols), np.concatenate(([0], np.cumsum(np.concatenate(lengths)))), np.concatenate(sources), result
+
+
 def _code_points(raw: np.ndarray) -> np.ndarray:
     return np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), dtype="<u4")
 
 
 def encode_slice(v: Vocabulary, raw: np.ndarray, off: np.ndarray, docs: np.ndarray, dropout: float, seed: int, variants: int) -> list[np.ndarray]:
-    """The ids of each row of a slice; docs: a number for each row, that chooses variants."""
+    """The ids of each row of a slice; docs: a number for each row, that its draws are keyed by."""
     lead = (raw & 0xC0) != 0x80
     at = np.concatenate(([0], np.cumsum(lead)))[off]  # rows in code points
     cp = _code_points(raw)
@@ -241,15 +329,17 @@ def encode_slice(v: Vocabulary, raw: np.ndarray, off: np.ndarray, docs: np.ndarr
         place = np.arange(total) - np.repeat(cuts, np.diff(bounds))
         h = np.add.reduceat(mix(h ^ place.astype(_U) * _U(0xC2B2AE3D27D4EB4F)), cuts)
         nth = np.arange(len(cuts)) - np.searchsorted(owner, owner)
-        pick = mix(mix(docs.astype(np.int64).view(_U)[owner] ^ _U(seed)) + nth.astype(_U)) % _U(variants if dropout else 1)
-        h = mix(mix(h ^ _U(seed)) + pick)
-    kinds, which, inverse = np.unique(h, return_index=True, return_inverse=True)
-    sizes = np.diff(bounds)[which]
-    flat = np.repeat(bounds[which] - np.concatenate(([0], np.cumsum(sizes)))[:-1], sizes) + np.arange(sizes.sum())
-    got, gb = merge_all(v, ids[flat], np.concatenate(([0], np.cumsum(sizes))), kinds, dropout)
+        pick = mix(mix(docs.astype(np.int64).view(_U)[owner] ^ _U(seed)) + nth.astype(_U))
+        if variants:
+            pick %= _U(variants)
+        keys = mix(mix(h ^ _U(seed)) + pick)
+    _, which, kinds = np.unique(h, return_index=True, return_inverse=True)
+    got, gb, sources, inverse = draw(v, ids, bounds, kinds, which, keys, dropout)
+    sizes = np.diff(bounds)[sources]
     # symbols without a piece become bytes; each of them is still one character, in order
     if (got < 0).any():
         bad = np.flatnonzero(got < 0)
+        flat = np.repeat(bounds[sources] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
         chars = out[flat][ids[flat] < 0]
         seg = np.repeat(np.arange(len(sizes)), np.diff(gb))
         raw_bytes = [chr(c).encode() for c in chars.tolist()]

@@ -59,3 +59,22 @@ def test_dropout_varies_and_is_stable(spark):
     assert out.where("lossless").count() == len(HARD) + 1 and T.encode(df.limit(0)).count() == 0
     assert rows(T.decode_all(out.where("doc_id is not null"))) == sorted((i, t or "") for i, t in enumerate(HARD))
     assert rows(T.encode(df.repartition(3)).select("doc_id", "n_tokens")) == rows(out.select("doc_id", "n_tokens"))
+
+
+@pytest.mark.parametrize("dropout", [0.1, 0.5])
+def test_each_occurrence_is_drawn_on_its_own(dropout):
+    v, word = T.vocabulary(T.MODEL), "informational"
+    ids = np.array([v.by_char[ord(c)] for c in "▁" + word], dtype=np.int32)
+    docs = [" ".join([word] * 400)] * 3
+    raw, off = np.frombuffer("".join(docs).encode(), dtype=np.uint8), np.cumsum([0, *(len(t) for t in docs)])
+    got = [x.tolist() for x in T.encode_slice(v, raw, off, np.array([5, 6, 5]), dropout, 17, T.VARIANTS)]
+    assert got[0] == got[2] != got[1]
+    kinds, at = set(), 0
+    for _ in range(400):  # each word by itself
+        n = next(n for n in range(1, 99) if T.decode(got[0][at : at + n]) == word)
+        kinds.add(tuple(got[0][at : at + n]))
+        at += n
+    assert len(kinds) > 4
+    keys = np.arange(500, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    flat, gb, _, of = T.draw(v, np.tile(ids, 500), np.arange(501) * len(ids), np.zeros(500, dtype=np.int64), np.array([0]), keys, dropout)
+    assert [flat[gb[r] : gb[r + 1]].tolist() for r in of] == [T.agenda(v, ids.tolist(), int(k), dropout) for k in keys]
