@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-WORD = 8
+BLOCK = 256  # sequences a block; a task compares two blocks
 
 
 def common_length(a: str, b: str) -> int:
@@ -45,9 +47,33 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def similar(seqs: DataFrame, least: float, word: int = WORD) -> DataFrame:
-    """(a, b) with a before b (longer first, then by id): pairs that share a word and are identical in least of the shorter."""
+def _all_pairs(s: DataFrame, least: float) -> DataFrame:
+    """similar() of all pairs: sequences are dealt to blocks, and each pair of blocks is compared where it meets."""
+    s = s.where("id is not null")
+    kind, blocks = s.schema["id"].dataType, max(1, math.ceil(s.count() / BLOCK))
+    dealt = s.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("other")
+    dealt = dealt.select("id", "seq", "n", "block", other).select("id", "seq", "n", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(t[c].to_pylist() for c in ("n", "id", "seq", "block")), strict=True), key=lambda r: (-r[0], r[1]))
+        x, y = t["x"][0].as_py(), t["y"][0].as_py()
+        out = []
+        for i, (_, a, p, block) in enumerate(rows):
+            for m, b, q, other in rows[i + 1 :]:
+                # a block is with itself in one pair of blocks only
+                if (x == y or block != other) and (m, b) != (len(p), a) and common_length(p, q) / m >= least:
+                    out.append((a, b))
+        return pa.table({c: pa.array([r[k] for r in out], t.schema.field("id").type) for k, c in enumerate("ab")})
+
+    return dealt.groupBy("x", "y").applyInArrow(compare, StructType([StructField("a", kind), StructField("b", kind)]))
+
+
+def similar(seqs: DataFrame, least: float, word: int | None = None) -> DataFrame:
+    """(a, b) with a before b (longer first, then by id): pairs that are identical in least of the shorter; with word, only those that share one of its length."""
     s = seqs.select("id", "seq", F.length("seq").alias("n")).where("n > 0")
+    if word is None:
+        return _all_pairs(s, least)
     words = s.select("id", "n", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - word + 1, F.lit(1))), lambda i: F.substring("seq", i, F.lit(word))))).alias("w"))
     other = words.select(F.col("id").alias("b"), F.col("n").alias("m"), "w")
     pairs = words.withColumnRenamed("id", "a").join(other, "w").where((F.col("n") > F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b")))).select("a", "b").distinct()
@@ -55,7 +81,7 @@ def similar(seqs: DataFrame, least: float, word: int = WORD) -> DataFrame:
     return pairs.join(text("a"), "a").join(text("b"), "b").where(identity("sa", "sb") >= least).select("a", "b")
 
 
-def greedy(seqs: DataFrame, least: float, word: int = WORD) -> DataFrame:
+def greedy(seqs: DataFrame, least: float, word: int | None = None) -> DataFrame:
     """id, representative, is_rep: longest first, a sequence joins the first representative it is similar to, else it becomes one.
 
     Rounds decide all that can be decided: a sequence whose earlier neighbours are all members becomes a representative, one

@@ -141,6 +141,21 @@ def test_greedy_equals_sequential(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("block", [256, 16])
+def test_greedy_compares_pairs_without_a_common_word(spark, monkeypatch, block):
+    monkeypatch.setattr(grouping, "BLOCK", block)
+    rnd = random.Random(12)
+    base = ["".join(rnd.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(60)) for _ in range(6)]
+    seqs = [(i, "".join(c if rnd.random() > 0.3 else rnd.choice("ACDEFGHIKLMNPQRSTVWY") for c in rnd.choice(base))[: rnd.randint(50, 60)]) for i in range(60)] + [(90, "ACDEFG"), (91, "ACDEF")]
+    got = dict(rows(grouping.greedy(spark.createDataFrame(seqs, "id long, seq string"), 0.6).select("id", "representative")))
+    reps, want = [], {}
+    for i, s in sorted(seqs, key=lambda x: (-len(x[1]), x[0])):
+        want[i] = next((r for r, t in reps if grouping.common_length(s, t) / min(len(s), len(t)) >= 0.6), i)
+        if want[i] == i:
+            reps.append((i, s))
+    assert got == want
+
+
 def test_common_length():
     assert grouping.common_length("ABCBDAB", "BDCABA") == 4 and grouping.common_length("", "A") == 0
 
