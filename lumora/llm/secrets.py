@@ -2,7 +2,7 @@
 
 Every text is scanned for three kinds of secrets (see ``RULES``). Then nested layers are unwrapped: the text with
 its URL escapes decoded where they stand, with its Unicode and character escapes decoded, and what each base64 run
-holds, in compressed form too. Each decoded layer goes on a worklist, is scanned by the same rules, and is unwrapped
+or block of wrapped lines holds, after a path or prefix and between binary bytes too, and in compressed form. Each decoded layer goes on a worklist, is scanned by the same rules, and is unwrapped
 in turn until no new layer turns up. A layer knows for each of its characters the places in the original that it came
 from (of a base64 run, the whole run), and what is found in it is reported with those. Cycle detection is by a layer's
 content and places, so no layer is visited twice.
@@ -13,7 +13,6 @@ give repeated results; an empty table gives an empty result; further columns are
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import hashlib
@@ -40,10 +39,16 @@ _WORDS = re.compile("pass(?:word|wd)|secret|token|api_?key")
 _URL = re.compile("(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+#: A run that goes on in the next lines.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:[ \t]*\r?\n[ \t>]*[A-Za-z0-9+/_-]++)++={0,2}")
+_BREAK = re.compile(r"[ \t]*\r?\n[ \t>]*")
+#: What can hold a secret or a further layer: both are ASCII, and no secret is shorter.
+_STRETCH = re.compile(rb"[\t\n\r\x20-\x7e]{16,}")
 
 #: What one compressed layer may grow to, in bytes; beyond it the layer is scanned in pieces of this size
-#: that overlap by OVERLAP, so nothing is left out and a compression bomb can't fill the memory.
-PIECE, OVERLAP = 4 << 20, 4096
+#: that overlap by OVERLAP, or by the run that is open at the border, up to CARRY, so a compression bomb can't fill the memory.
+PIECE, OVERLAP, CARRY = 4 << 20, 4096, 16 << 20
+_OPEN = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=%\\&#;{}\r\n"
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -119,35 +124,42 @@ def _inflate(raw: bytes) -> Iterator[str]:
             rest = box.unconsumed_tail if hasattr(box, "unconsumed_tail") else b""
             if not got:
                 break
-            yield (tail + got).decode("utf-8", "replace")
-            tail = got[-OVERLAP:]
+            data = tail + got
+            yield data.decode("utf-8", "replace")
+            tail = data[-min(max(OVERLAP, len(data) - len(data.rstrip(_OPEN))), CARRY) :]
             if box.eof or not rest and len(got) < PIECE:
                 break
     except (zlib.error, OSError, EOFError, lzma.LZMAError):
         return
 
 
+def _bytes(s: str) -> bytes:
+    """What base64 digits give; one that is left over at the end is dropped."""
+    s = s[:-1] if len(s) % 4 == 1 else s
+    return binascii.a2b_base64(s + "=" * (-len(s) % 4))
+
+
+def _packed(head: bytes) -> bool:
+    return head[:2] == b"\x1f\x8b" or head[:1] == b"\x78" and len(head) > 1 and (head[0] * 256 + head[1]) % 31 == 0 or head[:3] == b"BZh" or head[:6] == b"\xfd7zXZ\x00"
+
+
 def _b64(s: str) -> Iterator[str]:
-    s = s.rstrip("=").replace("-", "+").replace("_", "/")
-    for cut in range(0, 4):  # a run can begin with a letter that belongs to what stands before it
-        body = s[cut:]
-        if len(body) < 16 or len(body) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(body + "=" * (-len(body) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        found = list(_inflate(raw))
-        if found:
-            yield from found
-            return
+    s = s.rstrip("=")
+    starts = {0, 1, 2, 3} | {m.end() for m in re.finditer("[/_-]", s)}  # a run can begin with what belongs to a path or a name before it
+    s = s.replace("-", "+").replace("_", "/")
+    for at in sorted(starts):
+        if len(s) - at >= 8 and _packed(_bytes(s[at : at + 8])):
+            yield from _inflate(_bytes(s[at:]))
+    for cut in range(4):  # any other beginning is in step with one of these
+        raw = _bytes(s[cut:])
         try:
             text = raw.decode("utf-8")
         except UnicodeDecodeError:
-            continue
-        if sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.9 * len(text):
+            text = ""
+        if text and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.9 * len(text):
             yield text
-            return
+        else:
+            yield from (m[0].decode() for m in _STRETCH.finditer(raw))
 
 
 def layers(text: str, places: Places = None) -> Iterator[tuple[str, Places]]:
@@ -156,9 +168,9 @@ def layers(text: str, places: Places = None) -> Iterator[tuple[str, Places]]:
         yield _in_place(text, places, _URL, _unquote)
     if ("\\" in text or "&#" in text) and _ESCAPE.search(text):
         yield _in_place(text, places, _ESCAPE, _unescape)
-    for m in _BASE64.finditer(text):
+    for m in (*_BASE64.finditer(text), *_WRAPPED.finditer(text)):
         lo, hi = (m.start(), m.end()) if places is None else (int(places[0][m.start()]), int(places[1][m.end() - 1]))
-        for got in _b64(m[0]):
+        for got in _b64(_BREAK.sub("", m[0])):
             if got:
                 yield got, (np.full(len(got), lo), np.full(len(got), hi))
 

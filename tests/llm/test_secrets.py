@@ -48,6 +48,32 @@ def test_layers(wrap):
     assert base == [] and any(text[a:b].rstrip("=") == hidden.rstrip("=") and k == 0 for a, b, k in spans)
 
 
+@pytest.mark.parametrize("before", ["", "x", "/files/", "cfg-", "key_", "v1/blob/", "a/b-c_"])
+@pytest.mark.parametrize("inner", [SECRET.encode(), b"\x00\xff" + SECRET.encode() + b"\x80", gzip.compress(SECRET.encode(), mtime=0), zlib.compress(SECRET.encode())])
+def test_base64_after_a_prefix_and_with_binary_bytes(before, inner):
+    text = f"see {before}{base64.b64encode(inner).decode()} end"
+    assert any(k == 0 and (text[a:b].rstrip("=") == text[4:-4].rstrip("=")) for a, b, k in S.find(text)[1])
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n  "])
+def test_wrapped_base64(end):
+    rng = np.random.Generator(np.random.PCG64(5))
+    noise = rng.integers(97, 122, 300, dtype=np.uint8).tobytes()
+    for inner in (b"x" * 50 + SECRET.encode() + b" y" * 40, gzip.compress(noise + b" " + SECRET.encode(), mtime=0)):
+        lines = base64.encodebytes(inner).decode().rstrip("\n").replace("\n", end)
+        text = f"block: {lines}\n\nplain words"
+        assert any(k == 0 and text[a:b].rstrip("=") == lines.rstrip("=") for a, b, k in S.find(text)[1])
+
+
+def test_layer_over_a_piece_border(monkeypatch):
+    monkeypatch.setattr(S, "PIECE", 1 << 16)
+    rng = np.random.Generator(np.random.PCG64(6))
+    long = base64.b64encode(gzip.compress(rng.integers(97, 122, 20_000, dtype=np.uint8).tobytes() + b" " + SECRET.encode(), mtime=0))
+    for lead in (60_000, 64_000):
+        bomb = base64.b64encode(gzip.compress(b"a " * (lead // 2) + long, mtime=0)).decode()
+        assert any(k == 0 for *_, k in S.find("x " + bomb)[1])
+
+
 def test_places_are_exact():
     assert found('tok\\x65n = "zzzzzzzzzzzzzzzz"!') == [("assign", 'tok\\x65n = "zzzzzzzzzzzzzzzz')]
     assert found("password: %61%62%63%64efghijklmnop y") == [("assign", "password: %61%62%63%64efghijklmnop")]
