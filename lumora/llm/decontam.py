@@ -13,7 +13,7 @@ saves rows and decides nothing; the join and the extension do.
 
 Null and empty texts have no words and no hit. Every document row has one result row; rows that share a doc_id
 are counted together for the hits and apart for n_words; rows without a doc_id have no hits. Items with no words match nothing; items that repeat
-an item_id count once. Further columns are ignored; empty tables give empty results or no hits.
+an item_id count once. Items without an item_id hit like others, count as one item and are not in the list of items. Further columns are ignored; empty tables give empty results or no hits.
 """
 
 from __future__ import annotations
@@ -83,7 +83,7 @@ def _item_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(items: DataFrame) -> DataFrame:
     """The kept grams of a benchmark with the words around them; short: the item's words if fewer than WINDOW, else 0."""
     prepare(items.sparkSession)
-    return items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null").mapInArrow(_item_batches, _ITEM)
+    return items.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(_item_batches, _ITEM)
 
 
 def _filter(prints: DataFrame) -> tuple[np.ndarray, list[int]]:
@@ -176,20 +176,25 @@ def _spans(spark: SparkSession, docs: DataFrame, items: DataFrame) -> tuple[Data
     return found, both.select("doc_id", "item_id", (F.col("at") - F.col("l")).alias("at"), "n")
 
 
-def hits(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
-    """One row per document row: doc_id, n_words, n_hit, items (item ids as strings, sorted)."""
+def _counted(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
+    """hits(), and n_items, in which a null id counts."""
     found, spans = _spans(spark, docs, items)
     spans = cut(spans)
     words = spans.select("doc_id", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("w")).distinct().groupBy("doc_id").agg(F.count("*").alias("n_hit"))
-    names = spans.select("doc_id", "item_id").distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
+    names = spans.select("doc_id", "item_id").distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list("item_id")).alias("items"), F.count("*").alias("n_items"))
     hit = words.join(names, "doc_id")
-    return found.select("doc_id", "n_words").join(hit, "doc_id", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return found.select("doc_id", "n_words").join(hit, "doc_id", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"))
+
+
+def hits(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
+    """One row per document row: doc_id, n_words, n_hit, items (item ids as strings, sorted)."""
+    return _counted(spark, docs, items).drop("n_items")
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all items."""
-    out = hits(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    out = _counted(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -58,3 +58,11 @@ def test_empty_tables_and_more_columns(spark):
     assert rows(D.hits(spark, docs, items)) == [(None, 3, 0, []), (1, 3, 2, ["5"])]
     assert D.hits(spark, docs.limit(0), items).count() == 0
     assert rows(D.clean(docs, items).select("at")) == [(1,)] and D.clean(docs, items.limit(0)).count() == 2
+
+
+def test_items_without_an_id_hit(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (2, "four five"), (3, "six")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "two three"), (5, "one two"), (None, "five"), (6, "none of it")], "item_id long, text string")
+    assert rows(D.hits(spark, docs, items)) == [(1, 3, 3, ["5"]), (2, 2, 1, []), (3, 1, 0, [])]
+    assert rows(D._counted(spark, docs, items).select("doc_id", "n_items")) == [(1, 2), (2, 1), (3, 0)]
+    assert rows(D.clean(docs, items).select("doc_id")) == [(3,)]
