@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,25 +20,53 @@ BATCH_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound Arrow batches, and set a checkpoint folder only where none is set (as in tests)."""
+    """Bound Arrow batches, and see that there is a checkpoint folder: that of spark.checkpoint.dir.
+
+    Only a local session, whose executor is the driver, may do without: it gets a temporary folder, removed at exit.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lumora-checkpoint-"))
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() is not None:
+        return
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="lumora-checkpoint-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(folder)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there."""
-    prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Tables written by this process that are still there.
+_written: list[str] = []
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write df as a Parquet table of its own into the shared checkpoint folder, and read that."""
+def _folder(spark: SparkSession) -> str:
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df as a Parquet table of its own into the shared checkpoint folder, and go on from there.
+
+    A table read back knows its true size; a checkpoint would keep the plan's estimates, which multiply with every
+    join of an iteration until the numbers themselves stall the planner.
+    """
     spark = df.sparkSession
     prepare(spark)
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/lumora-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    _written.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+stored = cut
+
+
+def sweep(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Remove the tables that this process has written, but for those that keep reads; results not read yet are lost."""
+    files = " ".join(keep.inputFiles()) if keep is not None else ""
+    for path in list(_written):
+        if path.rsplit("/", 1)[1] not in files:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            _written.remove(path)
 
 
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
@@ -59,6 +89,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A key that holds more than one row in SHARE is hot: there are fewer than SHARE of them, however many keys there are.
+SHARE, COLD = 500, 500
+
+
+def heavy(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, salts): the keys of rows (written already) that hold more than a SHARE-th of them, and into how many parts
+    that size each would have to be cut. Fewer than SHARE rows, so they may be broadcast."""
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("k__")).where(F.col("k__") > COLD)
+    limit = max(COLD, rows.count() // SHARE)
+    return cut(counts.where(F.col("k__") > limit).select(*keys, F.ceil(F.col("k__") / limit).cast("int").alias("salts__")))
+
+
+def salted(rows: DataFrame, hot: DataFrame, by: str, *keys: str) -> DataFrame:
+    """rows with the part (salt__) of their key, by the hash of a column."""
+    return rows.join(F.broadcast(hot), list(keys), "left").withColumn("salt__", F.coalesce(F.pmod(F.xxhash64(by), F.col("salts__")), F.lit(0)).cast("int")).drop("salts__")
+
+
+def spread(rows: DataFrame, hot: DataFrame, *keys: str) -> DataFrame:
+    """rows once for each part (salt__) of their key."""
+    return rows.join(F.broadcast(hot), list(keys), "left").withColumn("salt__", F.explode(F.sequence(F.lit(0), F.coalesce("salts__", F.lit(1)) - 1))).drop("salts__")
+
+
 #: Bits of the bitmaps that say which keys can't be in a set; they hold MARK_BITS / 64 rows at most, whatever the set's size.
 MARK_BITS = 1 << 23
 
@@ -96,8 +148,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
 
     Alternating large-star and small-star steps: each node's neighbours are re-linked to the least of
     them, until the edge list no longer changes; every round's list is cut by a checkpoint. Only counts
-    and sums come to the driver. Nodes without an edge have no row. Null ends, loops and repeated edges
-    are allowed and change nothing.
+    and sums come to the driver. Minima are pre-aggregated, and the nodes that hold a large share of all edges (a giant
+    component's centre) are looked up in a broadcast of bounded size, so no task gets a centre's neighbours. Nodes
+    without an edge have no row. Null ends, loops and repeated edges are allowed and change nothing.
     """
     x, y = F.col(a), F.col(b)
     e = cut(edges.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct())
@@ -111,13 +164,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
             break
         before = tuple(sums)
         both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("x"))
+        large = cut(_lowest(both, sums[0] * 2).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
+        small = _lowest(large, sums[0]).select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("x"))
         e = cut(small.select("x.u", "x.v").where("u != v").distinct())
     else:
         raise RuntimeError(f"components did not settle in {most} rounds")
     # a settled list is a star around each component's least node
     return nodes.join(e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def _lowest(rows: DataFrame, n: int) -> DataFrame:
+    """(u, v, m): each edge with the least of u and its neighbours; edges of hot nodes are not shuffled by them."""
+    low = cut(rows.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("k")))
+    limit = max(COLD, n // SHARE)
+    hot = F.broadcast(low.where(F.col("k") > limit).select("u", F.col("m").alias("hot")))  # fewer than SHARE rows
+    rows = rows.join(hot, "u", "left")
+    cold = rows.where("hot is null").join(low.where(F.col("k") <= limit).select("u", "m"), "u")
+    return rows.where("hot is not null").select("u", "v", F.col("hot").alias("m")).union(cold.select("u", "v", "m"))
