@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lumora.llm import decontam, mil, neardup, secrets, tokens
-from lumora.llm.jobs import stored, table
+from lumora.llm.jobs import stored, sweep, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,4 +50,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = stored(docs)
+            sweep(spark, docs)  # what the stages so far had written
     return docs
