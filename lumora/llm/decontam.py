@@ -8,31 +8,33 @@ fingerprint. Fingerprints are joined, and each hit is extended over the words ar
 the gram and are equal on both sides count, and their words are hit. Items shorter than WINDOW are looked up
 by the hash of their whole sequence at every position, for the lengths that occur.
 
-Only a filter of fixed size (FILTER_BITS) is broadcast: it says which hashes can't be in the benchmark. It
-saves rows and decides nothing; the join and the extension do.
+Only a filter of bounded size (FILTER_BITS) is broadcast: it says which hashes can't be in the benchmark. It
+saves rows and decides nothing; the join and the extension do. Fingerprints with a large share of all hits are cut into parts.
 
-Null and empty texts have no words and no hit. Every document row has one result row; rows that share a doc_id
-are counted together for the hits and apart for n_words; rows without a doc_id have no hits. Items with no words match nothing; items that repeat
+Null and empty texts have no words and no hit. Every document row is judged by its own text, has a number of its own in all
+joins, and has one result row, whether doc_ids repeat or are null. Items with no words match nothing; items that repeat
 an item_id count once. Items without an item_id hit like others, count as one item and are not in the list of items. Further columns are ignored; empty tables give empty results or no hits.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .jobs import cut, prepare, table, tidy, without
+from .jobs import cut, heavy, prepare, salted, spread, table, tidy, without
 from .text import ALNUM, Words, column, grams, slices
 
 WINDOW, K = 10, 6
 SPAN = WINDOW - K + 1
 REACH = WINDOW - K  # words to either side of a gram that a window with it can hold
-FILTER_BITS = 1 << 23
-SALTS = 8
+#: Least and most bits of the filter: 16 for each fingerprint, in these bounds (8 MB at most).
+FILTER_BITS = (1 << 20, 1 << 26)
 
 
 def _winnow(h: np.ndarray) -> np.ndarray:
@@ -45,12 +47,12 @@ def _winnow(h: np.ndarray) -> np.ndarray:
     return np.unique(kept)
 
 
-def _bit(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(17)).astype(np.int64) & (FILTER_BITS - 1)
+def _bit(h: np.ndarray, size: int) -> np.ndarray:
+    return (h >> np.uint64(17)).astype(np.int64) & (size - 1)
 
 
 _ITEM = "item_id string, fp long, short int, before array<long>, own array<long>, after array<long>"
-_HIT = "doc_id long, n_words long, hits array<struct<fp:long,at:long,short:int,before:array<long>,own:array<long>,after:array<long>>>"
+_HIT = "row long, doc_id long, n_words long, digest string, hits array<struct<fp:long,at:long,short:int,before:array<long>,own:array<long>,after:array<long>>>"
 
 
 def _rows(h: np.ndarray, at: int, k: int) -> tuple:
@@ -87,13 +89,14 @@ def fingerprints(items: DataFrame) -> DataFrame:
 
 
 def _filter(prints: DataFrame) -> tuple[np.ndarray, list[int]]:
-    """A bitmap of FILTER_BITS of the fingerprints, and the lengths (under WINDOW) of short items."""
+    """A bitmap of the fingerprints, and the lengths (under WINDOW) of short items."""
+    size = min(FILTER_BITS[1], max(FILTER_BITS[0], 1 << (16 * prints.count()).bit_length()))
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, lengths = np.zeros(FILTER_BITS, dtype=bool), 0
+        bits, lengths = np.zeros(size, dtype=bool), 0
         for b in batches:
-            bits[_bit(column(b, "fp").to_numpy().view(np.uint64))] = True
+            bits[_bit(column(b, "fp").to_numpy().view(np.uint64), size)] = True
             for n in set(column(b, "short").to_pylist()):
                 lengths |= 1 << n
         at = np.flatnonzero(bits) >> 15
@@ -109,15 +112,18 @@ def _filter(prints: DataFrame) -> tuple[np.ndarray, list[int]]:
         return pa.table({"part": t["part"][:1], "lengths": pa.array([lengths]), "bits": pa.array([bits.tobytes()], pa.binary())})
 
     shape = "part long, lengths long, bits binary"
-    out, lengths = np.zeros(FILTER_BITS, dtype=bool), 0
-    for r in prints.mapInArrow(run, shape).groupBy("part").applyInArrow(merge, shape).collect():  # at most FILTER_BITS / 2**15 rows
+    out, lengths = np.zeros(size, dtype=bool), 0
+    for r in prints.mapInArrow(run, shape).groupBy("part").applyInArrow(merge, shape).collect():  # at most 2**11 rows
         out[r.part << 15 : r.part + 1 << 15] = np.unpackbits(np.frombuffer(r.bits, dtype=np.uint8)).view(bool)
         lengths |= r.lengths
     return out, [n for n in range(1, WINDOW) if lengths >> n & 1]
 
 
 def _spans(spark: SparkSession, docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per document row doc_id, n_words, hits; and (doc_id, item_id, at, n): item windows that occur at a word of a document."""
+    """Per document row its number, doc_id, n_words, hits; and (row, digest, item_id, at, n): item windows that occur at a word of a document.
+
+    digest is the MD5 of the row's text, if it has hits.
+    """
     prepare(spark)
     prints = cut(fingerprints(items))
     bits, lengths = _filter(prints)
@@ -127,9 +133,10 @@ def _spans(spark: SparkSession, docs: DataFrame, items: DataFrame) -> tuple[Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = np.unpackbits(np.frombuffer(packed.value, dtype=np.uint8)).view(bool)
         hit = pa.list_(pa.struct([("fp", pa.int64()), ("at", pa.int64()), ("short", pa.int32()), *((x, pa.list_(pa.int64())) for x in ("before", "own", "after"))]))
-        schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", hit)])
+        schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("digest", pa.string()), ("hits", hit)])
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            counts, hits = [], []
+            counts, hits, digests = [], [], []
             for _, _, raw, off in slices(column(batch, "text")):
                 w = Words(raw, off, ALNUM)
                 h = w.hashes()
@@ -148,24 +155,28 @@ def _spans(spark: SparkSession, docs: DataFrame, items: DataFrame) -> tuple[Data
                         place[g[j : j + len(low)] == low] = j
                     kept[(np.arange(len(low)) + place)[inside]] = True
                     at = np.flatnonzero(kept)
-                    at = at[have[_bit(g[at])]]
+                    at = at[have[_bit(g[at], len(have))]]
                     for p in at.tolist():
                         r = int(row_of[p])
                         a, b = int(w.bounds[r]), int(w.bounds[r + 1])
                         own[r].append((int(g.view(np.int64)[p]), p - a, 0, *_rows(h[a:b], p - a, K)))
                 for n in lengths:
                     s = grams(h, n)
-                    at = np.flatnonzero(have[_bit(s)] & (row_of[: len(s)] == row_of[n - 1 :])) if len(s) else []
+                    at = np.flatnonzero(have[_bit(s, len(have))] & (row_of[: len(s)] == row_of[n - 1 :])) if len(s) else []
                     for p in at:
                         r = int(row_of[p])
                         own[r].append((int(s.view(np.int64)[p]), int(p - w.bounds[r]), n, [], h.view(np.int64)[p : p + n].tolist(), []))
+                digests += [hashlib.md5(raw[off[r] : off[r + 1]].tobytes()).hexdigest() if x else None for r, x in enumerate(own)]
                 hits += [[dict(zip(("fp", "at", "short", "before", "own", "after"), x, strict=True)) for x in rows] for rows in own]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(hits, hit)], schema=schema)
+            numbers = pa.array(np.arange(number, number + batch.num_rows))
+            number += batch.num_rows
+            yield pa.RecordBatch.from_arrays([numbers, column(batch, "doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(hits, hit)], schema=schema)
 
     found = cut(docs.select("doc_id", "text").mapInArrow(run, _HIT))
-    left = found.where("size(hits) > 0").select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.*").withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS)))
-    right = prints.select("item_id", "fp", "short", *(F.col(x).alias(f"i_{x}") for x in ("before", "own", "after")), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-    both = left.join(right, ["fp", "short", "salt"]).where("own = i_own")
+    left = cut(found.where("size(hits) > 0").select("row", "digest", F.explode("hits").alias("h")).select("row", "digest", "h.*"))
+    right = prints.select("item_id", "fp", "short", *(F.col(x).alias(f"i_{x}") for x in ("before", "own", "after")))
+    hot = heavy(left, "fp", "short")
+    both = salted(left, hot, "row", "fp", "short").join(spread(right, hot, "fp", "short"), ["fp", "short", "salt__"]).where("own = i_own")
     same = lambda x: F.aggregate(  # noqa: E731  how many of the nearest words are equal
         F.sequence(F.lit(0), F.least(F.size(x), F.size(f"i_{x}"))),
         F.lit(0),
@@ -173,17 +184,17 @@ def _spans(spark: SparkSession, docs: DataFrame, items: DataFrame) -> tuple[Data
     )
     both = both.withColumn("l", F.when(F.col("short") > 0, 0).otherwise(same("before"))).withColumn("r", F.when(F.col("short") > 0, 0).otherwise(same("after")))
     both = both.withColumn("n", F.col("l") + F.size("own") + F.col("r")).where((F.col("short") > 0) | (F.col("n") >= WINDOW))
-    return found, both.select("doc_id", "item_id", (F.col("at") - F.col("l")).alias("at"), "n")
+    return found, both.select("row", "digest", "item_id", (F.col("at") - F.col("l")).alias("at"), "n")
 
 
 def _counted(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
     """hits(), and n_items, in which a null id counts."""
     found, spans = _spans(spark, docs, items)
     spans = cut(spans)
-    words = spans.select("doc_id", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("w")).distinct().groupBy("doc_id").agg(F.count("*").alias("n_hit"))
-    names = spans.select("doc_id", "item_id").distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list("item_id")).alias("items"), F.count("*").alias("n_items"))
-    hit = words.join(names, "doc_id")
-    return found.select("doc_id", "n_words").join(hit, "doc_id", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"))
+    words = spans.select("row", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("w")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
+    names = spans.select("row", "item_id").distinct().groupBy("row").agg(F.array_sort(F.collect_list("item_id")).alias("items"), F.count("*").alias("n_items"))
+    out = found.select("row", "doc_id", "n_words").join(words.join(names, "row"), "row", "left")
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"))
 
 
 def hits(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -198,10 +209,10 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the documents in which an item's window occurs; documents with a null id stay."""
+    """docs without the rows in whose text an item's window occurs; rows are judged by their text alone, whatever their doc_id."""
     _, spans = _spans(docs.sparkSession, docs, items)
-    bad = cut(spans.select("doc_id").distinct())
-    return without(docs, bad, "doc_id")
+    bad = cut(spans.select(F.col("digest").alias("digest__")).distinct())
+    return without(docs.withColumn("digest__", F.md5(F.coalesce("text", F.lit("")).cast("binary"))), bad, "digest__").drop("digest__")
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -111,27 +111,31 @@ def spread(rows: DataFrame, hot: DataFrame, *keys: str) -> DataFrame:
     return rows.join(F.broadcast(hot), list(keys), "left").withColumn("salt__", F.explode(F.sequence(F.lit(0), F.coalesce("salts__", F.lit(1)) - 1))).drop("salts__")
 
 
-#: Bits of the bitmaps that say which keys can't be in a set; they hold MARK_BITS / 64 rows at most, whatever the set's size.
-MARK_BITS = 1 << 23
+#: Least and most bits of the bitmaps that say which keys can't be in a set; one holds bits / 64 rows at most, so 2**20 whatever the set's size.
+MARK_BITS = (1 << 20, 1 << 26)
 
 
-def _hash(key: str):
-    """Equal for equal keys of any integer type."""
-    return F.xxhash64(F.col(key).cast("long"))
+def _hash(df: DataFrame, key: str):
+    """Equal for equal strings, and for equal keys of any integer type."""
+    return F.xxhash64(F.col(key) if dict(df.dtypes)[key] in ("string", "binary") else F.col(key).cast("long"))
 
 
-def marks(keys: DataFrame, key: str) -> DataFrame:
-    """(word, bits): a bitmap of the keys' hashes."""
-    place = F.pmod(_hash(key), F.lit(MARK_BITS))
-    return keys.select(F.floor(place / 64).cast("long").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(cast({key} as long)), 64) as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+def marks(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """(word, bits): a bitmap of the hashes of keys (written already), and its length, some 16 bits a key."""
+    size = min(MARK_BITS[1], max(MARK_BITS[0], 1 << (16 * keys.count()).bit_length()))
+    place = F.pmod(_hash(keys, key), F.lit(size))
+    spots = keys.select(F.floor(place / 64).cast("long").alias("word"), F.pmod(place, F.lit(64)).cast("int").alias("at"))
+    return spots.selectExpr("word", "shiftleft(1L, at) bit").groupBy("word").agg(F.bit_or("bit").alias("bits")), size
 
 
-def marked(df: DataFrame, key: str, bitmap: DataFrame, inside: bool = True) -> DataFrame:
+def marked(df: DataFrame, key: str, bitmap: tuple[DataFrame, int], inside: bool = True) -> DataFrame:
     """The rows of df whose key may be in the bitmap's set (all that are, and few others while the set is small); or those whose key isn't."""
-    place = F.pmod(_hash(key), F.lit(MARK_BITS))
-    hit = F.expr(f"coalesce(shiftright(bits, cast(pmod(xxhash64(cast({key} as long)), 64) as int)) & 1L, 0L) = 1L")
-    out = df.withColumn("word__", F.floor(place / 64).cast("long")).join(F.broadcast(bitmap.withColumnRenamed("word", "word__")), "word__", "inner" if inside else "left")
-    return out.where(hit if inside else ~hit).select(*df.columns)
+    bits, size = bitmap
+    place = F.pmod(_hash(df, key), F.lit(size))
+    hit = F.expr("coalesce(shiftright(bits, at__) & 1L, 0L) = 1L")
+    out = df.withColumns({"word__": F.floor(place / 64).cast("long"), "at__": F.pmod(place, F.lit(64)).cast("int")})
+    out = out.join(F.broadcast(bits.withColumnRenamed("word", "word__")), "word__", "inner" if inside else "left")
+    return out.where(hit if inside else ~hit).select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -139,7 +143,7 @@ def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     bitmap = marks(keys, key)
     # an anti join would be pushed below the bitmap's, and shuffle all rows
     listed = keys.select(key).distinct().withColumn("listed__", F.lit(True))
-    rest = marked(df, key, bitmap).join(listed, key, "left").where("listed__ is null").select(*df.columns)
+    rest = marked(df, key, bitmap).join(listed, key, "left").where("listed__ is null").select(*(F.col(f"`{c}`") for c in df.columns))
     return marked(df, key, bitmap, inside=False).union(rest)
 
 

@@ -55,9 +55,17 @@ def test_empty_tables_and_more_columns(spark):
     items = spark.createDataFrame([(5, "Two three")], "item_id long, text string")
     assert rows(D.hits(spark, docs.where("doc_id = 1"), items)) == [(1, 3, 2, ["5"])]
     assert rows(D.hits(spark, docs.where("doc_id = 1"), items.limit(0))) == [(1, 3, 0, [])]
-    assert rows(D.hits(spark, docs, items)) == [(None, 3, 0, []), (1, 3, 2, ["5"])]
+    assert rows(D.hits(spark, docs, items)) == [(None, 3, 2, ["5"]), (1, 3, 2, ["5"])]
     assert D.hits(spark, docs.limit(0), items).count() == 0
-    assert rows(D.clean(docs, items).select("at")) == [(1,)] and D.clean(docs, items.limit(0)).count() == 2
+    assert D.clean(docs, items).count() == 0 and D.clean(docs, items.limit(0)).count() == 2
+
+
+def test_rows_of_a_doc_id_are_judged_apart(spark):
+    docs = spark.createDataFrame([(1, "a clean text of its own", 0), (1, "one two three", 1), (1, "one two three", 2), (None, "clean", 3), (2, None, 4)], "doc_id long, text string, n int")
+    items = spark.createDataFrame([(5, "two three")], "item_id long, text string")
+    assert rows(D.hits(spark, docs, items)) == [(None, 1, 0, []), (1, 3, 2, ["5"]), (1, 3, 2, ["5"]), (1, 6, 0, []), (2, 0, 0, [])]
+    kept = D.clean(docs, items)
+    assert kept.columns == docs.columns and sorted(r.n for r in kept.collect()) == [0, 3, 4]
 
 
 def test_items_without_an_id_hit(spark):
