@@ -3,9 +3,14 @@
 Every text is scanned for three kinds of secrets (see ``RULES``). Then nested layers are unwrapped: the text with
 its URL escapes decoded where they stand, with its Unicode and character escapes decoded, and what each base64 run
 or block of wrapped lines holds, after a path or prefix and between binary bytes too, and in compressed form. Each decoded layer goes on a worklist, is scanned by the same rules, and is unwrapped
-in turn until no new layer turns up. A layer knows for each of its characters the places in the original that it came
-from (of a base64 run, the whole run), and what is found in it is reported with those. Cycle detection is by a layer's
-content and places, so no layer is visited twice.
+in turn until no new layer turns up. A layer knows the places in the original that each of its characters came from (of a
+base64 run, one range: the whole run), and what is found in it is reported with those. Cycle detection is by a layer's
+content and places, so no layer is visited twice. The worklist holds one open layer for each depth, not all layers.
+
+Escapes within escapes are unwrapped layer by layer up to LEVELS deep, and from there on to their fixpoint in one pass over
+the text, so that the work stays linear however deep they are; no escape holds a character that a secret can have, so a
+secret of a layer in between is still there at the fixpoint. Compressed layers are read in pieces of PIECE bytes, all
+members of a stream, and never held whole.
 
 Null texts count as empty and yield no spans. Rows are independent of each other: repeated rows and ids
 give repeated results; an empty table gives an empty result; further columns are ignored.
@@ -19,6 +24,7 @@ import hashlib
 import lzma
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,9 +51,10 @@ _BREAK = re.compile(r"[ \t]*\r?\n[ \t>]*")
 #: What can hold a secret or a further layer: both are ASCII, and no secret is shorter.
 _STRETCH = re.compile(rb"[\t\n\r\x20-\x7e]{16,}")
 
-#: What one compressed layer may grow to, in bytes; beyond it the layer is scanned in pieces of this size
-#: that overlap by OVERLAP, or by the run that is open at the border, up to CARRY, so a compression bomb can't fill the memory.
-PIECE, OVERLAP, CARRY = 4 << 20, 4096, 16 << 20
+#: Compressed layers are scanned in pieces of this size; a piece ends before the run that is open at its end (up to CARRY), and
+#: OVERLAP bytes before that belong to the next one as well.
+PIECE, OVERLAP, CARRY = 1 << 20, 4096, 4 << 20
+LEVELS = 6
 _OPEN = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=%\\&#;{}\r\n"
 
 
@@ -84,53 +91,107 @@ def _unquote(m: re.Match) -> list[tuple[str, int, int]]:
     return out
 
 
-#: Places in the original of each character of a layer: where they begin and end; none for the original itself.
-Places = tuple[np.ndarray, np.ndarray] | None
+#: Places in the original of a layer's characters: arrays of where each begins and ends, or one range for all; none for the original itself.
+Places = tuple[np.ndarray, np.ndarray] | tuple[int, int] | None
+
+
+def _span(places: Places, start: int, end: int) -> tuple[int, int]:
+    """Where a part of a layer is in the original."""
+    if places is None:
+        return start, end
+    if isinstance(places[0], int):
+        return places
+    return int(places[0][start]), int(places[1][end - 1])
+
+
+def _through(places: Places, lo: np.ndarray, hi: np.ndarray) -> Places:
+    if places is None:
+        return lo, hi
+    return places if isinstance(places[0], int) else (places[0][lo], places[1][hi - 1])
 
 
 def _in_place(text: str, places: Places, pattern: re.Pattern, decode) -> tuple[str, Places]:
     """A text with all matches decoded where they stand."""
+    exact = places is None or not isinstance(places[0], int)
     parts, begins, ends, at = [], [], [], 0
     for m in pattern.finditer(text):
         got = decode(m)
-        plain = np.arange(at, m.start())
         parts += [text[at : m.start()], "".join(c for c, _, _ in got)]
-        begins += [plain, np.array([a for _, a, _ in got], dtype=np.int64)]
-        ends += [plain + 1, np.array([b for _, _, b in got], dtype=np.int64)]
+        if exact:
+            plain = np.arange(at, m.start())
+            begins += [plain, np.array([a for _, a, _ in got], dtype=np.int64)]
+            ends += [plain + 1, np.array([b for _, _, b in got], dtype=np.int64)]
         at = m.end()
+    whole = "".join(parts) + text[at:]
+    if not exact:
+        return whole, places
     rest = np.arange(at, len(text))
-    lo, hi = np.concatenate([*begins, rest]), np.concatenate([*ends, rest + 1])
-    if places is not None:
-        lo, hi = places[0][lo], places[1][hi - 1]
-    return "".join(parts) + text[at:], (lo, hi)
+    return whole, _through(places, np.concatenate([*begins, rest]), np.concatenate([*ends, rest + 1]))
+
+
+#: An escape that ends with the last character of a text.
+_TAIL = re.compile(r"(?:%([0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8}))\Z")
+_ENDS = frozenset("0123456789abcdefABCDEF;}")
+
+
+def _reduce(text: str, places: Places) -> tuple[str, Places]:
+    """A text with all escapes of ASCII characters decoded again and again until none is left, in one pass."""
+    out: list[str] = []
+    lo, hi = array("q"), array("q")
+    for i, c in enumerate(text):
+        out.append(c)
+        lo.append(i)
+        hi.append(i + 1)
+        while out[-1] in _ENDS:
+            tail = "".join(out[-12:])
+            m = _TAIL.search(tail) if "%" in tail or "\\" in tail or "&" in tail else None
+            code = (int(m[5]) if m[5] else int(m[m.lastindex], 16)) if m else 0x80
+            if code >= 0x80:
+                break
+            n, end = m.end() - m.start(), hi[-1]
+            del out[-n + 1 :], lo[-n + 1 :], hi[-n + 1 :]
+            out[-1], hi[-1] = chr(code), end
+    return "".join(out), _through(places, np.frombuffer(lo, dtype=np.int64), np.frombuffer(hi, dtype=np.int64)) if out else ("", places)
 
 
-def _inflate(raw: bytes) -> Iterator[str]:
-    """The texts of a compressed layer, piece by piece."""
+def _box(raw: bytes):
     if raw[:2] == b"\x1f\x8b":
-        box = zlib.decompressobj(31)
-    elif raw[:1] == b"\x78" and len(raw) > 1 and (raw[0] * 256 + raw[1]) % 31 == 0:
-        box = zlib.decompressobj()
-    elif raw[:3] == b"BZh":
-        box = bz2.BZ2Decompressor()
-    elif raw[:6] == b"\xfd7zXZ\x00":
-        box = lzma.LZMADecompressor()
-    else:
-        return
-    tail, rest = b"", raw
-    try:
-        while True:
-            got = box.decompress(rest, PIECE)
-            rest = box.unconsumed_tail if hasattr(box, "unconsumed_tail") else b""
-            if not got:
-                break
-            data = tail + got
-            yield data.decode("utf-8", "replace")
-            tail = data[-min(max(OVERLAP, len(data) - len(data.rstrip(_OPEN))), CARRY) :]
-            if box.eof or not rest and len(got) < PIECE:
-                break
-    except (zlib.error, OSError, EOFError, lzma.LZMAError):
-        return
+        return zlib.decompressobj(31)
+    if raw[:1] == b"\x78" and len(raw) > 1 and (raw[0] * 256 + raw[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if raw[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    return None
+
+
+def _inflate(raw: bytes) -> Iterator[str]:
+    """The texts of a compressed layer, of all its members, piece by piece."""
+    held = b""
+    while (box := _box(raw)) is not None:
+        rest, raw = raw, b""
+        try:
+            while True:
+                got = box.decompress(rest, PIECE)
+                rest = box.unconsumed_tail if hasattr(box, "unconsumed_tail") else b""
+                held += got
+                if len(held) >= PIECE:
+                    closed = len(held.rstrip(_OPEN))
+                    if not closed and len(held) > CARRY:
+                        closed = len(held)
+                    if closed:
+                        yield held[:closed].decode("utf-8", "replace")
+                        held = held[max(0, closed - OVERLAP) :] if closed < len(held) or len(held) <= CARRY else held[-OVERLAP:]
+                if box.eof:
+                    raw = box.unused_data.lstrip(b"\x00")
+                    break
+                if not got or not rest and len(got) < PIECE and getattr(box, "needs_input", True):
+                    break
+        except (zlib.error, OSError, EOFError, lzma.LZMAError):
+            break
+    if held:
+        yield held.decode("utf-8", "replace")
 
 
 def _bytes(s: str) -> bytes:
@@ -162,31 +223,46 @@ def _b64(s: str) -> Iterator[str]:
             yield from (m[0].decode() for m in _STRETCH.finditer(raw))
 
 
-def layers(text: str, places: Places = None) -> Iterator[tuple[str, Places]]:
-    """What a text can be unwrapped to: itself with its URL or Unicode escapes decoded, and what each base64 run holds."""
-    if "%" in text and _URL.search(text):
-        yield _in_place(text, places, _URL, _unquote)
-    if ("\\" in text or "&#" in text) and _ESCAPE.search(text):
-        yield _in_place(text, places, _ESCAPE, _unescape)
+def layers(text: str, places: Places = None, level: int = 0) -> Iterator[tuple[str, Places, int]]:
+    """What a text can be unwrapped to, with how many escapes deep it is: itself with its URL or Unicode escapes decoded, and what each base64 run holds."""
+    url, code = "%" in text and _URL.search(text), ("\\" in text or "&#" in text) and _ESCAPE.search(text)
+    if level < LEVELS:
+        if url:
+            yield *_in_place(text, places, _URL, _unquote), level + 1
+        if code:
+            yield *_in_place(text, places, _ESCAPE, _unescape), level + 1
+    elif level == LEVELS and (url or code):
+        inner, where = _reduce(text, places)
+        yield inner, where, LEVELS + 1
+    elif level == LEVELS + 1 and (url or code):  # escapes of other characters than ASCII are left
+        inner, where = _in_place(text, places, _URL, _unquote)
+        yield *_in_place(inner, where, _ESCAPE, _unescape), LEVELS + 2
     for m in (*_BASE64.finditer(text), *_WRAPPED.finditer(text)):
-        lo, hi = (m.start(), m.end()) if places is None else (int(places[0][m.start()]), int(places[1][m.end() - 1]))
+        where = _span(places, m.start(), m.end())
         for got in _b64(_BREAK.sub("", m[0])):
             if got:
-                yield got, (np.full(len(got), lo), np.full(len(got), hi))
+                yield got, where, 0
 
 
 def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """The spans found in the text as it is, and all spans with those of decoded layers, in the original's code points."""
     base = scan(text)
-    spans, seen, work = set(base), set(), list(layers(text))
+    spans, seen, work = set(base), set(), [layers(text)]
     while work:
-        inner, places = work.pop()
-        key = hashlib.blake2b(inner.encode("utf-8", "replace") + places[0].tobytes() + places[1].tobytes(), digest_size=16).digest()
+        got = next(work[-1], None)
+        if got is None:
+            work.pop()
+            continue
+        inner, places, level = got
+        mark = hashlib.blake2b(inner.encode("utf-8", "replace"), digest_size=16)
+        mark.update(repr(places).encode() if isinstance(places[0], int) else places[0].tobytes() + places[1].tobytes())
+        key = (mark.digest(), level > LEVELS)
         if key in seen or inner == text:
             continue
         seen.add(key)
-        spans.update((int(places[0][s]), int(places[1][e - 1]), k) for s, e, k in scan(inner))
-        work += layers(inner, places)
+        spans.update((*_span(places, s, e), k) for s, e, k in scan(inner))
+        work.append(layers(inner, places, level))
+        del got, inner, places
     return base, sorted(spans, key=lambda s: (s[0], s[2], s[1]))
 
 

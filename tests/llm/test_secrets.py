@@ -1,5 +1,7 @@
 import base64
 import gzip
+import time
+import tracemalloc
 import urllib.parse
 import zlib
 
@@ -74,6 +76,35 @@ def test_layer_over_a_piece_border(monkeypatch):
         assert any(k == 0 for *_, k in S.find("x " + bomb)[1])
 
 
+def test_members_of_a_stream():
+    both = gzip.compress(b"nothing here", mtime=0) + gzip.compress(b" " + SECRET.encode(), mtime=0)
+    assert any(k == 0 for *_, k in S.find("x " + base64.b64encode(both).decode())[1])
+
+
+@pytest.mark.parametrize("deep", [1, 5, 6, 7, 40])
+def test_deep_escapes_reach_their_fixpoint(deep):
+    hidden = "password: \\x61%62cd&#101;fghijklmnop"
+    for _ in range(deep):
+        hidden = hidden.replace("%", "%25").replace("\\", "%5c").replace("&", "\\u0026")
+    text = f"é {hidden} end"
+    assert any(text[a:b] == hidden and k == 0 for a, b, k in S.find(text)[1])
+
+
+def test_nested_escapes_and_bombs_are_linear_and_bounded():
+    """1 MB of nested escapes, and bombs of 20 MB, in less than 10 s and 200 MB each."""
+    rng = np.random.Generator(np.random.PCG64(8))
+    bombs = [b"a " * 10_000_000, b"a" * 20_000_000, rng.integers(97, 123, 1000, dtype=np.uint8).tobytes() * 20_000]
+    texts = ["%" + "25" * 500_000 + "41"] + ["x " + base64.b64encode(gzip.compress(b + b" " + SECRET.encode(), mtime=0)).decode() for b in bombs]
+    for text in texts:
+        tracemalloc.start()
+        began = time.monotonic()
+        spans = S.find(text)[1]
+        took, (_, peak) = time.monotonic() - began, tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert took < 10 and peak < 200 << 20, (text[:20], took, peak >> 20)
+        assert text[0] == "%" or any(k == 0 for *_, k in spans)
+
+
 def test_places_are_exact():
     assert found('tok\\x65n = "zzzzzzzzzzzzzzzz"!') == [("assign", 'tok\\x65n = "zzzzzzzzzzzzzzzz')]
     assert found("password: %61%62%63%64efghijklmnop y") == [("assign", "password: %61%62%63%64efghijklmnop")]
