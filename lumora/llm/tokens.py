@@ -8,8 +8,8 @@ In a chunk, an agenda holds every neighbouring pair of symbols whose join is a p
 the leftmost first on a tie. A pair that comes up is skipped if a hash keyed by the seed, the document's id, the chunk,
 its place in the document and the pair's place says so (with probability ``dropout``), and is merged otherwise; a merge
 puts the pairs it forms on the agenda. So each occurrence of a word is drawn on its own, yet each run gives the same ids
-on any number of executors. Occurrences of a chunk that skip the same merges share the work (see ``draw``), the draws are
-never shared; with ``variants`` above 0 there are only so many draws of a chunk. With dropout 0 the ids are those of the
+on any number of executors. Occurrences of a chunk that skip the same merges share the work (see ``draw``; a worker also
+remembers it, in bounded memory, see ``Known``), the draws are never shared; with ``variants`` above 0 there are only so many draws of a chunk. With dropout 0 the ids are those of the
 SentencePiece library.
 
 Characters without a piece, and U+2581 where the text itself has it, become byte pieces, so that decoding gives
@@ -36,6 +36,7 @@ DROPOUT, SEED, VARIANTS = 0.1, 17, 0
 SPACE = "▁"
 _LONG = 48  # chunks of more symbols go through the agenda one by one, in n log n steps
 _SHARED = 3  # skipped merges up to which occurrences share their work; beyond, each is merged by itself
+KNOWN = 1 << 18  # agendas that a worker keeps; it starts afresh beyond that
 _U = np.uint64
 
 
@@ -230,75 +231,142 @@ def merge_all(v: Vocabulary, ids: np.ndarray, bounds: np.ndarray, chunks: np.nda
     return ids[order], np.concatenate(([0], np.cumsum(np.bincount(seg, minlength=len(sizes)))))
 
 
-def draw(v: Vocabulary, ids: np.ndarray, bounds: np.ndarray, kinds: np.ndarray, which: np.ndarray, keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """What the agenda of every occurrence of a chunk ends with: symbols, their bounds by result, the chunk of each result, and the result of each occurrence.
+class Known:
+    """Agendas that a worker has been through: what a chunk ends with if it skips certain merges, and the merges that it makes.
 
-    ids and bounds hold all chunks, kinds numbers each by its content, which has the first of a content, and keys are the
-    hashes that decide what each skips. Those that skip none of the merges of their content's agenda end as it does; those
-    whose first skipped merge is the same go on together from there, up to _SHARED skips; then each goes on alone.
+    An agenda is known by a hash of the chunk's content and of the places that it skips; it doesn't depend on who draws it.
     """
 
-    def flat(chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = np.diff(bounds)[chunks]
-        to = np.concatenate(([0], np.cumsum(n)))
-        return ids[np.repeat(bounds[chunks] - to[:-1], n) + np.arange(to[-1])], to
+    def __init__(self) -> None:
+        self.at: dict[int, int] = {}
+        self.symbols, self.places = np.zeros(1 << 16, dtype=np.int32), np.zeros(1 << 16, dtype=_U)
+        self.ends, self.merges = np.zeros((2, 1 << 12), dtype=np.int64), np.zeros((2, 1 << 12), dtype=np.int64)  # where each begins and how many it has
+
+    @staticmethod
+    def _room(a: np.ndarray, n: int) -> np.ndarray:
+        if n <= a.shape[-1]:
+            return a
+        out = np.zeros((*a.shape[:-1], max(n, 2 * a.shape[-1])), dtype=a.dtype)
+        out[..., : a.shape[-1]] = a
+        return out
 
-    symbols, lengths, sources = [], [], []
-    result, total = np.zeros(len(keys), dtype=np.int64), 0
+    def add(self, keys: np.ndarray, got: np.ndarray, gb: np.ndarray, places: np.ndarray, merges: np.ndarray) -> None:
+        n = len(self.at)
+        s0 = int(self.ends[:, n - 1].sum()) if n else 0
+        p0 = int(self.merges[:, n - 1].sum()) if n else 0
+        to = n + len(keys)
+        self.symbols, self.places = self._room(self.symbols, s0 + len(got)), self._room(self.places, p0 + len(places))
+        self.ends, self.merges = self._room(self.ends, to), self._room(self.merges, to)
+        self.symbols[s0 : s0 + len(got)], self.places[p0 : p0 + len(places)] = got, places
+        self.ends[:, n:to] = s0 + gb[:-1], np.diff(gb)
+        self.merges[:, n:to] = p0 + np.cumsum(merges) - merges, merges
+        self.at.update(zip(keys.tolist(), range(n, to), strict=True))
 
-    def add(got: np.ndarray, gb: np.ndarray, chunks: np.ndarray) -> None:
-        nonlocal total
-        symbols.append(got), lengths.append(np.diff(gb)), sources.append(chunks)
-        total += len(chunks)
 
-    limit = _limit(dropout)
-    if not limit:
-        add(*merge_all(v, *flat(which), np.zeros(len(which), dtype=_U), 0.0), which)
-        result = kinds
-    else:
-        short = np.diff(bounds) <= _LONG
-        own = [np.flatnonzero(~short)]
-        occ = np.flatnonzero(short)
-        nodes, node = np.unique(kinds[occ], return_inverse=True)
-        chunks, barred, done = which[nodes], np.zeros((len(nodes), 0), dtype=_U), np.zeros(len(nodes), dtype=np.int64)
-        for _ in range(_SHARED + 1):
-            if not len(occ):
-                break
+@cache
+def known(path: str) -> Known:
+    return Known()
+
+
+def _whole(v: Vocabulary, out: np.ndarray, ids: np.ndarray, flat: np.ndarray, got: np.ndarray, gb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of the chunks at the places flat, those without a piece as bytes; each of these is still one character, in order."""
+    if not (got < 0).any():
+        return got, gb
+    raw_bytes = [chr(c).encode() for c in out[flat][ids[flat] < 0].tolist()]
+    width = np.ones(len(got), dtype=np.int64)
+    width[got < 0] = [len(b) for b in raw_bytes]
+    seg = np.repeat(np.arange(len(gb) - 1), np.diff(gb))
+    wide = np.repeat(got, width)
+    wide[wide < 0] = v.bytes[np.frombuffer(b"".join(raw_bytes), dtype=np.uint8)]
+    return wide, np.concatenate(([0], np.cumsum(np.bincount(np.repeat(seg, width), minlength=len(gb) - 1))))
+
+
+def draw(v: Vocabulary, have: Known, out: np.ndarray, ids: np.ndarray, bounds: np.ndarray, h: np.ndarray, keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What the agenda of every chunk ends with: symbols, and for each chunk where its own begin and how many they are.
+
+    out, ids and bounds hold the chunks' characters and symbols, h hashes of their contents, and keys the hashes that
+    decide what each skips. Those that skip none of the merges of their content's agenda end as it does; those
+    whose first skipped merge is the same go on together from there, up to _SHARED skips; then each goes on alone.
+    """
+
+    def places_of(chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = np.diff(bounds)[chunks]
+        to = np.concatenate(([0], np.cumsum(n)))
+        return np.repeat(bounds[chunks] - to[:-1], n) + np.arange(to[-1]), to
+
+    def look(nodes: np.ndarray, chunks: np.ndarray, barred: np.ndarray) -> np.ndarray:
+        """The number of each agenda; those not known yet are gone through."""
+        get = have.at.get
+        at = np.array([get(k, -1) for k in nodes.tolist()], dtype=np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            flat, to = places_of(chunks[new])
             log: list = []
-            got, gb = merge_all(v, *flat(chunks), np.zeros(len(chunks), dtype=_U), 0.0, barred, log)
+            got, gb = merge_all(v, ids[flat], to, np.zeros(len(new), dtype=_U), 0.0, barred[new], log)
             seg = np.concatenate([x for x, _ in log]) if log else np.zeros(0, dtype=np.int64)
             place = np.concatenate([x for _, x in log]) if log else np.zeros(0, dtype=_U)
-            order = np.argsort(seg, kind="stable")
-            place, merges = place[order], np.bincount(seg, minlength=len(chunks))
-            begin = np.cumsum(merges) - merges
-            # each occurrence against the merges that it hasn't been held against
-            n = (merges - done)[node]
-            to = np.cumsum(n) - n
-            row = np.repeat(np.arange(len(occ)), n)
-            nth = np.arange(len(row)) - to[row] + done[node[row]]
-            skip = np.flatnonzero(_draw(keys[occ[row]], place[begin[node[row]] + nth]) < limit)
-            skip = skip[np.concatenate(([True], row[skip][1:] != row[skip][:-1]))] if len(skip) else skip
-            ends = np.ones(len(occ), dtype=bool)
-            ends[row[skip]] = False
-            result[occ[ends]] = total + node[ends]
-            add(got, gb, chunks)
-            branch, node_ = np.unique(node[row[skip]] * (_LONG + 1) + nth[skip], return_inverse=True)
-            occ, parent, done = occ[row[skip]], branch // (_LONG + 1), branch % (_LONG + 1)
-            barred = np.column_stack((barred[parent], place[begin[parent] + done]))
-            chunks, node = chunks[parent], node_
-        own = np.concatenate((*own, occ))
-        if len(own):
-            result[own] = total + np.arange(len(own))
-            add(*merge_all(v, *flat(own), keys[own], dropout), own)
-    return np.concatenate(symbols), np.concatenate(([0], np.cumsum(np.concatenate(lengths)))), np.concatenate(sources), result
+            at[new] = len(have.at) + np.arange(len(new))
+            have.add(nodes[new], *_whole(v, out, ids, flat, got, gb), place[np.argsort(seg, kind="stable")], np.bincount(seg, minlength=len(new)))
+        return at
+
+    limit = _limit(dropout)
+    short = np.diff(bounds) <= _LONG
+    number = np.zeros(len(keys), dtype=np.int64)
+    alone = np.zeros(len(keys), dtype=bool)
+    occ = np.flatnonzero(short)
+    nodes, first, node = np.unique(h[occ], return_index=True, return_inverse=True)
+    chunks, barred, done = occ[first], np.zeros((len(nodes), 0), dtype=_U), np.zeros(len(nodes), dtype=np.int64)
+    for _ in range(_SHARED + 1 if limit else 1):
+        if not len(occ):
+            break
+        at = look(nodes, chunks, barred)
+        number[occ] = at[node]
+        if not limit:
+            occ = occ[:0]
+            break
+        begin, merges = have.merges[:, at]
+        # each occurrence against the merges that it hasn't been held against
+        n = (merges - done)[node]
+        to = np.cumsum(n) - n
+        row = np.repeat(np.arange(len(occ)), n)
+        nth = np.arange(len(row)) - np.repeat(to - done[node], n)
+        skip = np.flatnonzero(_draw(np.repeat(keys[occ], n), have.places[np.repeat(begin[node], n) + nth]) < limit)
+        skip = skip[np.concatenate(([True], row[skip][1:] != row[skip][:-1]))] if len(skip) else skip
+        branch, node_ = np.unique(node[row[skip]] * (_LONG + 1) + nth[skip], return_inverse=True)
+        occ, parent, done = occ[row[skip]], branch // (_LONG + 1), branch % (_LONG + 1)
+        place = have.places[begin[parent] + done]
+        barred = np.column_stack((barred[parent], place))
+        with np.errstate(over="ignore"):
+            nodes = mix(nodes[parent] ^ mix(place + _U(len(barred.T))))
+        chunks, node = chunks[parent], node_
+    alone[occ] = alone[~short] = True
+    start, size = have.ends[:, number]
+    flat_ids = have.symbols
+    if alone.any():
+        own = np.flatnonzero(alone)
+        to = own
+        if not limit:  # long chunks, once for each content
+            _, first, to = np.unique(h[own], return_index=True, return_inverse=True)
+            own, twin = own[first], own
+        flat, ob = places_of(own)
+        got, gb = _whole(v, out, ids, flat, *merge_all(v, ids[flat], ob, keys[own], dropout))
+        if limit:
+            start[own], size[own] = len(flat_ids) + gb[:-1], np.diff(gb)
+        else:
+            start[twin], size[twin] = len(flat_ids) + gb[:-1][to], np.diff(gb)[to]
+        flat_ids = np.concatenate((flat_ids, got))
+    return flat_ids, start, size
 
 
 def _code_points(raw: np.ndarray) -> np.ndarray:
     return np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), dtype="<u4")
 
 
-def encode_slice(v: Vocabulary, raw: np.ndarray, off: np.ndarray, docs: np.ndarray, dropout: float, seed: int, variants: int) -> list[np.ndarray]:
-    """The ids of each row of a slice; docs: a number for each row, that its draws are keyed by."""
+def encode_slice(v: Vocabulary, raw: np.ndarray, off: np.ndarray, docs: np.ndarray, dropout: float, seed: int, variants: int, have: Known | None = None) -> list[np.ndarray]:
+    """The ids of each row of a slice; docs: a number for each row, that its draws are keyed by; have: agendas known from before."""
+    have = Known() if have is None else have
+    if len(have.at) > KNOWN:
+        have.__init__()
     lead = (raw & 0xC0) != 0x80
     at = np.concatenate(([0], np.cumsum(lead)))[off]  # rows in code points
     cp = _code_points(raw)
@@ -333,27 +401,10 @@ def encode_slice(v: Vocabulary, raw: np.ndarray, off: np.ndarray, docs: np.ndarr
         if variants:
             pick %= _U(variants)
         keys = mix(mix(h ^ _U(seed)) + pick)
-    _, which, kinds = np.unique(h, return_index=True, return_inverse=True)
-    got, gb, sources, inverse = draw(v, ids, bounds, kinds, which, keys, dropout)
-    sizes = np.diff(bounds)[sources]
-    # symbols without a piece become bytes; each of them is still one character, in order
-    if (got < 0).any():
-        bad = np.flatnonzero(got < 0)
-        flat = np.repeat(bounds[sources] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        chars = out[flat][ids[flat] < 0]
-        seg = np.repeat(np.arange(len(sizes)), np.diff(gb))
-        raw_bytes = [chr(c).encode() for c in chars.tolist()]
-        width = np.ones(len(got), dtype=np.int64)
-        width[bad] = [len(b) for b in raw_bytes]
-        wide = np.repeat(got, width)
-        wide[wide < 0] = v.bytes[np.frombuffer(b"".join(raw_bytes), dtype=np.uint8)]
-        gb = np.concatenate(([0], np.cumsum(np.bincount(np.repeat(seg, width), minlength=len(sizes)))))
-        got = wide
-    lens = np.diff(gb)[inverse]
-    ends = np.cumsum(lens)
-    take = np.repeat(gb[:-1][inverse] - (ends - lens), lens) + np.arange(int(ends[-1]))
-    flat_ids = got[take]
-    per_row = np.bincount(owner, weights=lens, minlength=len(n)).astype(np.int64)
+    flat_ids, start, size = draw(v, have, out, ids, bounds, h, keys, dropout)
+    ends = np.cumsum(size)
+    flat_ids = flat_ids[np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]))]
+    per_row = np.bincount(owner, weights=size, minlength=len(n)).astype(np.int64)
     return np.split(flat_ids, np.cumsum(per_row)[:-1])
 
 
@@ -385,7 +436,7 @@ def encode(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, variants
             ids = column(batch, "doc_id").cast(pa.int64())
             numbers = ids.fill_null(-1).to_numpy(zero_copy_only=False)
             for lo, hi, raw, off in slices(column(batch, "text")):
-                rows = encode_slice(v, raw, off, numbers[lo:hi], dropout, seed, variants)
+                rows = encode_slice(v, raw, off, numbers[lo:hi], dropout, seed, variants, known(model))
                 good = [decode_bytes(v, r) == raw[off[i] : off[i + 1]].tobytes() for i, r in enumerate(rows)]
                 n = np.array([len(r) for r in rows], dtype=np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(np.concatenate(rows).astype(np.int32)))

@@ -76,5 +76,18 @@ def test_each_occurrence_is_drawn_on_its_own(dropout):
         at += n
     assert len(kinds) > 4
     keys = np.arange(500, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    flat, gb, _, of = T.draw(v, np.tile(ids, 500), np.arange(501) * len(ids), np.zeros(500, dtype=np.int64), np.array([0]), keys, dropout)
-    assert [flat[gb[r] : gb[r + 1]].tolist() for r in of] == [T.agenda(v, ids.tolist(), int(k), dropout) for k in keys]
+    have, cps = T.Known(), np.tile(np.array([32, *map(ord, word)]), 500)
+    for _ in range(2):  # afresh, and with agendas known
+        flat, start, size = T.draw(v, have, cps, np.tile(ids, 500), np.arange(501) * len(ids), np.full(500, 77, dtype=np.uint64), keys, dropout)
+        assert [flat[a : a + n].tolist() for a, n in zip(start, size, strict=True)] == [T.agenda(v, ids.tolist(), int(k), dropout) for k in keys]
+
+
+def test_memory_of_a_worker_changes_nothing(monkeypatch):
+    texts = [t for t in HARD if t] * 3 + ["informational things 日 x " * 40]
+    v = T.vocabulary(T.MODEL)
+    raws = list(slices(pa.array(texts, pa.string()), 400))
+    run = lambda have: [r.tolist() for lo, hi, raw, off in raws for r in T.encode_slice(v, raw, off, np.arange(lo, hi), 0.2, 3, 0, have)]
+    afresh, have = run(None), T.Known()
+    assert run(have) == afresh == run(have)
+    monkeypatch.setattr(T, "KNOWN", 20)
+    assert run(T.Known()) == afresh
