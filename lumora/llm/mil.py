@@ -1,12 +1,13 @@
 """Quality by attention-based multiple-instance learning.
 
 A document is a bag of passages of PASSAGE words (the last one may be shorter), over its whole text. Every passage
-is encoded as FEATURES numbers: shares of kinds of characters and words, repetition, word and line lengths, and
-hashed word shapes. A passage goes through a tanh layer; gated attention, softmax(w . (tanh(V h) * sigmoid(U h))) over
-the document's passages, weighs them; the weighted sum is scored by a logistic unit. All of it is learnt from
-document labels alone, with seeded Adam steps on the driver, from at most TRAIN_DOCS labelled documents (those with
-the least hash of doc_id) and at most TRAIN_PASSAGES evenly spread passages of each. Scoring reads every passage of
-every text. The broadcast model has a fixed size.
+is encoded by its words and its looks: the learnt embeddings of its words (hashed to BUCKETS, summed over the passage and divided
+by the root of their number), and a learnt map of FEATURES numbers (shares of kinds of characters and words, repetition, word and line
+lengths, hashed word shapes), through a tanh layer. Gated attention, softmax(w . (tanh(V h) * sigmoid(U h))) over
+the document's passages, weighs them; the weighted sum is scored by a logistic unit. All of it, embeddings included, is learnt
+from document labels alone, with seeded Adam steps on the driver, from a bounded sample of labelled documents: those with the
+least hash of doc_id, at most TRAIN_DOCS of them and as many as have TRAIN_PASSAGES passages in all. A document is taken with
+all of its passages or not at all. Scoring reads every passage of every text. The broadcast model has a fixed size.
 
 Null and empty texts are a bag of one passage of zeros, with a score as any other. Labels that are null, or whose
 document isn't there, are left out; of several rows for one doc_id the least label counts; if one class is missing
@@ -19,17 +20,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .jobs import cut, prepare, table, tidy
 from .text import SPACED, Words, column, mix, slices
 
-PASSAGE, TRAIN_DOCS, TRAIN_PASSAGES = 64, 4000, 16
+PASSAGE, TRAIN_DOCS, TRAIN_PASSAGES = 64, 4000, 100_000
+BUCKETS = 1024
 SHAPES = 32
 PLAIN = 18
 FEATURES = PLAIN + SHAPES
-HIDDEN, GATE, EPOCHS, RATE, DECAY = 24, 12, 60, 0.01, 1e-4
+HIDDEN, GATE, EPOCHS, RATE, DECAY = 24, 12, 40, 0.01, 1e-4
+_STEP = 2048  # passages encoded at a time
 
 _CLASS = np.zeros(256, dtype=np.uint8)  # 0 other, 1 lower, 2 upper, 3 digit, 4 beyond ASCII, 5 full stop or comma, 6 other mark
 _CLASS[33:127] = 6
@@ -37,8 +40,8 @@ _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 1, 2, 3, 4
 _CLASS[[44, 46]] = 5
 
 
-def featurise(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(passages x FEATURES, the row of each passage); every row has one at least."""
+def featurise(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(passages x FEATURES, passages x PASSAGE buckets of words, filled up with BUCKETS, the row of each passage); every row has one passage at least."""
     w = Words(raw, off, SPACED)
     rows = len(off) - 1
     per_row = np.maximum(1, -(-w.counts // PASSAGE))
@@ -46,8 +49,9 @@ def featurise(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     owner = np.repeat(np.arange(rows), per_row)
     total = int(first[-1])
     out = np.zeros((total, FEATURES), dtype=np.float32)
+    ids = np.full((total, PASSAGE), BUCKETS, dtype=np.uint16)
     if not len(w.starts):
-        return out, owner
+        return out, ids, owner
     row_of = w.rows()
     passage = first[row_of] + (np.arange(len(row_of)) - w.bounds[row_of]) // PASSAGE
     n = np.bincount(passage, minlength=total).astype(np.float64)
@@ -70,18 +74,16 @@ def featurise(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     out[:, 11] = share(length == 1, words)
     out[:, 12] = share(length >= 12, words)
     h = w.hashes()
-    key = np.sort(mix(h) >> np.uint64(16) | passage.astype(np.uint64) << np.uint64(48))  # a slice has fewer passages than 65,536, or passages share a number rarely
-    new = np.concatenate(([True], key[1:] != key[:-1]))
-    at = np.flatnonzero(new)
+    ids[passage, (np.arange(len(h)) - w.bounds[row_of]) % PASSAGE] = mix(h) % np.uint64(BUCKETS)
+    bits = total.bit_length()
+    key = np.sort(mix(h) >> np.uint64(bits) | passage.astype(np.uint64) << np.uint64(64 - bits))
+    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     runs = np.diff(np.concatenate((at, [len(key)])))
-    where = (key[at] >> np.uint64(48)).astype(np.int64)
-    span = min(total, 1 << 16)
-    distinct = np.bincount(where, minlength=span)
-    most = np.zeros(span)
+    where = (key[at] >> np.uint64(64 - bits)).astype(np.int64)
+    most = np.zeros(total)
     np.maximum.at(most, where, runs)
-    index = np.arange(total) % (1 << 16)
-    out[:, 13] = distinct[index] / words
-    out[:, 14] = most[index] / words
+    out[:, 13] = np.bincount(where, minlength=total) / words
+    out[:, 14] = most / words
     same = np.zeros(len(h), dtype=bool)
     same[1:] = (h[1:] == h[:-1]) & (passage[1:] == passage[:-1])
     out[:, 15] = share(same, words)
@@ -93,7 +95,15 @@ def featurise(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     shape = kind[w.starts].astype(np.int64) * 49 + kind[w.ends - 1] * 7 + kind[np.minimum(w.starts + 1, w.ends - 1)]
     shape = (mix(shape.astype(np.uint64) * np.uint64(64) + np.minimum(length, 12).astype(np.uint64) // np.uint64(3)) % np.uint64(SHAPES)).astype(np.int64)
     out[:, PLAIN:] = np.bincount(passage * SHAPES + shape, minlength=total * SHAPES).reshape(total, SHAPES) / words[:, None]
-    return out, owner
+    return out, ids, owner
+
+
+def word_counts(ids: np.ndarray) -> np.ndarray:
+    """passages x BUCKETS: how often each bucket occurs, over the root of the passage's words."""
+    n = (ids < BUCKETS).sum(axis=1, keepdims=True)
+    flat = (np.arange(len(ids))[:, None] * (BUCKETS + 1) + ids).ravel()
+    counts = np.bincount(flat, minlength=len(ids) * (BUCKETS + 1)).reshape(-1, BUCKETS + 1)[:, :BUCKETS]
+    return (counts / np.sqrt(np.maximum(n, 1))).astype(np.float32)
 
 
 class Model:
@@ -102,54 +112,68 @@ class Model:
     def __init__(self, weights: dict[str, np.ndarray], mean: np.ndarray, scale: np.ndarray):
         self.weights, self.mean, self.scale = weights, mean, scale
 
-    def forward(self, x: np.ndarray, first: np.ndarray) -> tuple:
-        """x: passages by bag, first: where each bag begins."""
+    def encode(self, x: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Passages x HIDDEN, a bounded number of passages at a time."""
+        p, out = self.weights, []
+        for lo in range(0, len(x), _STEP):
+            shape = (x[lo : lo + _STEP].astype(np.float64) - self.mean) / self.scale
+            out.append(np.tanh(shape @ p["W"] + word_counts(ids[lo : lo + _STEP]) @ p["E"] + p["b"]))
+        return np.concatenate(out)
+
+    def attend(self, h: np.ndarray, first: np.ndarray) -> tuple:
+        """h: encoded passages by bag, first: where each bag begins."""
         p = self.weights
-        n = np.diff(np.concatenate((first, [len(x)])))
-        x = (x - self.mean) / self.scale
-        h = np.tanh(x @ p["W"] + p["b"])
+        n = np.diff(np.concatenate((first, [len(h)])))
         a, g = np.tanh(h @ p["V"] + p["bv"]), 1 / (1 + np.exp(-(h @ p["U"] + p["bu"])))
         e = (a * g) @ p["w"]
         e = np.exp(e - np.repeat(np.maximum.reduceat(e, first), n))
         alpha = e / np.repeat(np.add.reduceat(e, first), n)
         z = np.add.reduceat(alpha[:, None] * h, first, axis=0)
         y = z @ p["c"] + p["d"][0]
-        return x, h, a, g, alpha, z, 1 / (1 + np.exp(-np.clip(y, -40, 40))), n
+        return a, g, alpha, z, 1 / (1 + np.exp(-np.clip(y, -40, 40))), n
 
-    def score(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
-        return self.forward(x, first)[6]
+    def score(self, x: np.ndarray, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+        return self.attend(self.encode(x, ids), first)[4]
 
-    def attention(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
-        return self.forward(x, first)[4]
+    def attention(self, x: np.ndarray, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+        return self.attend(self.encode(x, ids), first)[2]
 
 
-def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Model:
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Model:
+    """bags: features and word buckets of each document's passages."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    shapes = {"W": (FEATURES, HIDDEN), "b": (HIDDEN,), "V": (HIDDEN, GATE), "bv": (GATE,), "U": (HIDDEN, GATE), "bu": (GATE,), "w": (GATE,), "c": (HIDDEN,), "d": (1,)}
+    shapes = {"W": (FEATURES, HIDDEN), "E": (BUCKETS, HIDDEN), "b": (HIDDEN,), "V": (HIDDEN, GATE), "bv": (GATE,), "U": (HIDDEN, GATE), "bu": (GATE,), "w": (GATE,), "c": (HIDDEN,), "d": (1,)}
     p = {k: rng.normal(0, 1 / np.sqrt(s[0]), s) if len(s) == 2 or k in "wc" else np.zeros(s) for k, s in shapes.items()}
     if not bags or labels.min() == labels.max():
         p = {k: np.zeros(s) for k, s in shapes.items()}
         p["d"][0] = 0 if not bags else (6 if labels[0] else -6)
         return Model(p, np.zeros(FEATURES), np.ones(FEATURES))
-    every = np.concatenate(bags).astype(np.float64)
-    model = Model(p, every.mean(axis=0), every.std(axis=0) + 1e-3)
+    n = np.array([len(x) for x, _ in bags], dtype=np.float64)
+    mean = sum(x.sum(axis=0, dtype=np.float64) for x, _ in bags) / n.sum()
+    var = sum(((x - mean) ** 2).sum(axis=0) for x, _ in bags) / n.sum()
+    model = Model(p, mean, np.sqrt(var) + 1e-3)
     m1, m2, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
     for epoch in range(epochs):
         order = rng.permutation(len(bags))
-        for lo in range(0, len(order), 256):
-            pick = order[lo : lo + 256]
-            own = [bags[i] for i in pick]
-            first = np.concatenate(([0], np.cumsum([len(b) for b in own])))[:-1]
-            x, h, a, g, alpha, z, q, n = model.forward(np.concatenate(own).astype(np.float64), first)
+        # steps of some 2000 passages: a long document is a step of its own
+        cuts = np.flatnonzero(np.diff(np.cumsum(n[order]) // 2000, prepend=0))
+        for pick in np.split(order, cuts):
+            if not len(pick):
+                continue
+            first = np.concatenate(([0], np.cumsum(n[pick]).astype(np.int64)))[:-1]
+            x = (np.concatenate([bags[i][0] for i in pick]) - model.mean) / model.scale
+            ids = np.concatenate([bags[i][1] for i in pick])
+            h = np.concatenate([np.tanh(x[lo : lo + _STEP] @ p["W"] + word_counts(ids[lo : lo + _STEP]) @ p["E"] + p["b"]) for lo in range(0, len(x), _STEP)])
+            a, g, alpha, z, q, sizes = model.attend(h, first)
             dy = (q - labels[pick]) / len(pick)
-            dz = dy[:, None] * p["c"]
-            wide = np.repeat(dz, n, axis=0)
+            wide = np.repeat(dy[:, None] * p["c"], sizes, axis=0)
             dalpha = (wide * h).sum(axis=1)
-            de = alpha * (dalpha - np.repeat(np.add.reduceat(alpha * dalpha, first), n))
+            de = alpha * (dalpha - np.repeat(np.add.reduceat(alpha * dalpha, first), sizes))
             dgate = de[:, None] * p["w"]
             da, dg = dgate * g * (1 - a * a), dgate * a * g * (1 - g)
             dh = (alpha[:, None] * wide + da @ p["V"].T + dg @ p["U"].T) * (1 - h * h)
-            grads = {"W": x.T @ dh, "b": dh.sum(0), "V": h.T @ da, "bv": da.sum(0), "U": h.T @ dg, "bu": dg.sum(0), "w": (a * g).T @ de, "c": z.T @ dy, "d": np.array([dy.sum()])}
+            dE = sum(word_counts(ids[lo : lo + _STEP]).T @ dh[lo : lo + _STEP].astype(np.float32) for lo in range(0, len(x), _STEP))
+            grads = {"W": x.T @ dh, "E": dE, "b": dh.sum(0), "V": h.T @ da, "bv": da.sum(0), "U": h.T @ dg, "bu": dg.sum(0), "w": (a * g).T @ de, "c": z.T @ dy, "d": np.array([dy.sum()])}
             step += 1
             rate = RATE * (1 - epoch / epochs)
             for k, v in p.items():
@@ -163,16 +187,20 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed:
 @tidy
 def _bag_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, out = column(batch, "doc_id"), []
+        ids, out, sizes = column(batch, "doc_id"), [], []
         for lo, hi, raw, off in slices(column(batch, "text")):
-            x, owner = featurise(raw, off)
+            x, words, owner = featurise(raw, off)
             bounds = np.searchsorted(owner, np.arange(hi - lo + 1))
-            for i in range(hi - lo):
-                bag = x[bounds[i] : bounds[i + 1]]
-                if len(bag) > TRAIN_PASSAGES:
-                    bag = bag[np.linspace(0, len(bag) - 1, TRAIN_PASSAGES).astype(int)]
-                out.append(bag.tobytes())
-        yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.binary())], names=["doc_id", "bag"])
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                # a document beyond the bound of the sample can't be in it
+                out.append(x[a:b].tobytes() + words[a:b].tobytes() if b - a <= TRAIN_PASSAGES else None)
+                sizes.append(int(b - a))
+        yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.binary()), pa.array(sizes, pa.int64())], names=["doc_id", "bag", "n"])
+
+
+def _bag(raw: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    cut_ = 4 * FEATURES * n
+    return np.frombuffer(raw[:cut_], dtype=np.float32).reshape(n, FEATURES), np.frombuffer(raw[cut_:], dtype=np.uint16).reshape(n, PASSAGE)
 
 
 def held_out(doc_id: str = "doc_id", of: int = 3, is_: int = 1):
@@ -180,14 +208,18 @@ def held_out(doc_id: str = "doc_id", of: int = 3, is_: int = 1):
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from labels (doc_id, quality) of rows that aren't held out; at most TRAIN_DOCS bags of a bounded size reach the driver."""
+    """A model from labels (doc_id, quality) of rows that aren't held out, learnt from a sample of bounded size that reaches the driver."""
     prepare(docs.sparkSession)
     labels = labels.where("doc_id is not null and quality is not null").where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     labels = labels.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     picked = cut(labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS))
-    bags = docs.select("doc_id", "text").join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi").mapInArrow(_bag_batches, "doc_id long, bag binary")
-    rows = bags.groupBy("doc_id").agg(F.min("bag").alias("bag")).join(picked, "doc_id").orderBy("doc_id").collect()
-    return fit([np.frombuffer(r.bag, dtype=np.float32).reshape(-1, FEATURES) for r in rows], np.array([float(r.quality > 0) for r in rows]))
+    bags = docs.select("doc_id", "text").join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi").mapInArrow(_bag_batches, "doc_id long, bag binary, n long")
+    bags = cut(bags.where("bag is not null").groupBy("doc_id").agg(F.min(F.struct("bag", "n")).alias("b")).select("doc_id", "b.bag", "b.n").join(picked, "doc_id"))
+    # the first ones, in order of their hash, that have TRAIN_PASSAGES passages in all
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    few = bags.select("doc_id", F.sum("n").over(order).alias("upto")).where(F.col("upto") <= TRAIN_PASSAGES)  # of TRAIN_DOCS rows
+    rows = bags.join(F.broadcast(few.select("doc_id")), "doc_id", "left_semi").orderBy("doc_id").collect()
+    return fit([_bag(r.bag, r.n) for r in rows], np.array([float(r.quality > 0) for r in rows]))
 
 
 def _scorer(spark: SparkSession, model: Model):
@@ -196,8 +228,8 @@ def _scorer(spark: SparkSession, model: Model):
     def scores(texts: pa.Array) -> np.ndarray:
         out = [np.zeros(0)]
         for _, _, raw, off in slices(texts):
-            x, owner = featurise(raw, off)
-            out.append(sent.value.score(x.astype(np.float64), np.searchsorted(owner, np.arange(len(off) - 1))))
+            x, ids, owner = featurise(raw, off)
+            out.append(sent.value.score(x, ids, np.searchsorted(owner, np.arange(len(off) - 1))))
         return np.concatenate(out)
 
     return scores
