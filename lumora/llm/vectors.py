@@ -9,8 +9,9 @@ form a class that counts once in all comparisons; its members are linked with ea
    gives each class its first neighbours; the number of orders grows with the logarithm of the label's size, so that a
    linked pair meets in none with a probability of MISS at most.
 3. Descent: each class keeps a list of its K nearest. In a round, all that have a class in their list or are in its list
-   meet there (neighbours of neighbours), as far as one of them is new; those with one more order are met too. Rounds
-   follow each other until all orders are used and no more than SETTLED of the entries changed.
+   meet there (neighbours of neighbours), if one of them is new there; those next to each other in some more orders meet too.
+   Rounds follow each other until all orders are used and the last one found nothing that may be a link, or changed
+   no more than SETTLED of the entries.
 4. Saturation: a list whose entries may be links for the most part grows to twice these, up to LONGEST. Where a list is
    full at that length, all that entries connect with it is a group that is counted whole: members within half the links' angle of the
    group's mean direction are all linked with each other (angles obey the triangle inequality), which takes one pass; the
@@ -186,7 +187,7 @@ def _search(classes: DataFrame, kind: str, seed: int, factor: int) -> DataFrame:
     if not most:
         return _no_lists(classes.sparkSession)
     while True:
-        ways = range(done, min(most, done + (4 if lists is None else 2)))
+        ways = range(done, min(most, done + (6 if lists is None else 3)))
         done += len(ways)
         worst = sk if lists is None else sk.join(lists.select("cid", "worst"), "cid", "left")
         worst = worst.withColumn("worst", F.lit(BITS + 1) if lists is None else F.coalesce("worst", F.lit(BITS + 1)))
@@ -196,14 +197,10 @@ def _search(classes: DataFrame, kind: str, seed: int, factor: int) -> DataFrame:
             meet = meet.where("x is not null").select("x.way", "x.at", "x.o", "cid", F.lit(True).alias("fresh"), "worst", *names)
         if lists is not None:
             entries = lists.select("cid", F.explode("l").alias("x")).select("cid", "x.other", "x.fresh")
-            pairs = entries.select(F.col("cid").alias("at"), F.col("other").alias("cid"), "fresh").union(entries.select(F.col("other").alias("at"), "cid", "fresh"))
-            # a place where nothing is new is left out
-            live = entries.where("fresh").select(F.explode(F.array("cid", "other")).alias("at")).distinct()
-            pairs = pairs.join(live, "at", "left_semi").union(live.select("at", F.col("at").alias("cid"), F.lit(False)))
-            near = pairs.join(worst.select("cid", "worst", *names), "cid")
-            near = near.select(F.lit(-1).alias("way"), "at", F.xxhash64("cid", F.lit(round_)).alias("o"), "cid", "fresh", "worst", *names)
+            pairs = entries.select(F.col("cid").alias("at"), F.col("other").alias("cid"), "fresh").union(entries.select(F.col("other").alias("at"), "cid", "fresh")).union(lists.select(F.col("cid").alias("at"), "cid", F.lit(False)))
+            near = pairs.join(worst.select("cid", "worst", *names), "cid").select(F.lit(-1).alias("way"), "at", F.lit(0).cast("long").alias("o"), "cid", "fresh", "worst", *names)
             meet = near if meet is None else meet.union(near)
-        keys = ["way", "at", "o", "cid"]
+        keys = ["way", "at", "o", F.xxhash64("cid", F.lit(round_)), "cid"]
         found = meet.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_meet_batches, "cid long, other long, ham int").withColumn("old", F.lit(False))
         if lists is not None:
             found = found.union(lists.select("cid", F.explode("l").alias("x")).select("cid", "x.other", "x.ham", F.lit(True).alias("old")))
@@ -211,7 +208,9 @@ def _search(classes: DataFrame, kind: str, seed: int, factor: int) -> DataFrame:
         sums = lists.agg(F.sum(F.size("l")).alias("n"), F.sum(F.size(F.filter("l", lambda x: x.fresh))).alias("fresh"), F.sum(F.size(F.filter("l", lambda x: x.ham <= CLOSE))).alias("close")).first()
         search_log.append((round_, sums.fresh or 0, sums.close or 0))
         round_ += 1
-        if not sums.n or done >= most and round_ > 1 and sums.fresh <= SETTLED * sums.n:
+        still = round_ == 1 or sums.fresh > SETTLED * sums.n and sums.close > close
+        close = sums.close
+        if not sums.n or done >= most and not still:
             return lists
 
 
