@@ -13,13 +13,15 @@ linked if the Jaccard similarity of their sets is THRESHOLD or more, which is al
 4. In each bucket every class is paired with the bucket's first and last class only. Pairs pass if the similarity that
    is likeliest, jointly for all registers and given the sets' sizes, is LIKELY or more (5 standard deviations below
    THRESHOLD), and are then verified on the sets.
-5. Buckets whose classes are not yet all connected are compared whole: cut into blocks, block against block. Pairs of
+5. Buckets whose classes are not yet all connected are compared whole: cut into blocks of at most BLOCK classes and some
+   MASS shingles, block against block. Pairs of
    different components that pass the likelihood, each in the first bucket it shares, are verified where they meet: their
    classes' texts come to the block, and only links that connect components leave it. So every pair that shares a
    bucket is connected already or decided, and no list of a group's pairs is made.
 
 Rows that share a doc_id are one document as for components (they get a row each). A null doc_id is never linked by
-itself, has the component of its class's least id if there is one, and isn't kept. Null texts count as empty. Further
+itself, has the component of its class's least id if there is one, and isn't kept. Shingles are compared as 64-bit hashes: two different ones of a
+pair pass for one with a probability of some 1e-19. Null texts count as empty. Further
 columns are ignored; empty tables give empty results.
 """
 
@@ -34,14 +36,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .jobs import components, cut, marked, marks, prepare, table, tidy, without
+from .jobs import COLD, SHARE, components, cut, marked, marks, prepare, salted, spread, table, tidy, without
 from .text import SPACED, Words, column, mix, shingle_sets, slices
 
 SHINGLE, THRESHOLD = 5, (75, 100)
 ROWS, BANDS, BASE, SCALE = 5, 44, 1.1, 20.0
 REGISTERS = ROWS * BANDS
 LIKELY = 0.6
-STAR, BLOCK = 256, 1024
+STAR, BLOCK, MASS = 256, 1024, 2_000_000  # classes and shingles of a block
 _rng = np.random.Generator(np.random.PCG64(99))
 _A = _rng.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
@@ -148,7 +150,8 @@ def _band_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             part = b.slice(lo, 2000)
             keys = bands(_matrix(column(part, "regs")))
             ids = np.repeat(column(part, "cid").to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids)], names=["bucket", "cid"])
+            n = np.repeat(np.minimum(column(part, "n_shingles").to_numpy(), 1 << 30), BANDS).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids), pa.array(n)], names=["bucket", "cid", "n"])
 
 
 @tidy
@@ -253,20 +256,23 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sketches of the documents, classes, links between classes that connect all that are linked)."""
     sketches = cut(sketch(docs))
     classes = cut(sketches.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("cid"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs")).where("cid is not null"))
-    rows = classes.select("cid", "regs").mapInArrow(_band_batches, "bucket long, cid long")
-    shared = rows.groupBy("bucket").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count("*").alias("k")).where("k > 1 and lo < hi")
-    members = cut(rows.join(shared, "bucket"))
+    rows = classes.select("cid", "regs", "n_shingles").mapInArrow(_band_batches, "bucket long, cid long, n int")
+    shared = cut(rows.groupBy("bucket").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count("*").alias("k"), F.sum("n").alias("mass")).where("k > 1 and lo < hi"))
+    # buckets that hold a large share of all rows, a handful at most, are cut into parts
+    limit = max(COLD, (shared.agg(F.sum("k")).first()[0] or 0) // SHARE)
+    hot = cut(shared.where(F.col("k") > limit).select("bucket", F.ceil(F.col("k") / limit).cast("int").alias("salts__")))
+    members = cut(salted(rows, hot, "cid", "bucket").join(spread(shared, hot, "bucket"), ["bucket", "salt__"]).drop("salt__", "n"))
     near = F.explode(F.array("lo", "hi")).alias("c")
     pairs = members.select("cid", near).where("cid != c").select(F.greatest("cid", "c").alias("a"), F.least("cid", "c").alias("b")).distinct()
     tested = cut(likely(pairs, classes))
     links = cut(verify(tested, docs))
     comps = components(links)
     # what is left: buckets that hold several components
-    inside = members.select("bucket", "cid", "k").join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("root", "cid"))
+    inside = members.select("bucket", "cid", "k", "mass").join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("root", "cid"))
     open_ = inside.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most")
     # in a bucket of two classes the pair is decided by now
-    todo = inside.where("k > 2").join(open_.select("bucket"), "bucket", "left_semi")
-    blocks = F.ceil(F.col("k") / BLOCK)
+    todo = salted(inside.where("k > 2"), hot, "cid", "bucket").join(spread(open_.select("bucket"), hot, "bucket"), ["bucket", "salt__"], "left_semi").drop("salt__")
+    blocks = F.ceil(F.greatest(F.col("k") / BLOCK, F.col("mass") / MASS))
     todo = todo.select("bucket", "cid", "comp", blocks.alias("blocks"), F.pmod(F.xxhash64("cid"), blocks).alias("block"))
     todo = todo.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     todo = todo.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "comp")

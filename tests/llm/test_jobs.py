@@ -35,7 +35,7 @@ def test_components_of_nothing(spark):
 
 @pytest.mark.parametrize("bits", [64, 1 << 23])
 def test_without(spark, monkeypatch, bits):
-    monkeypatch.setattr(jobs, "MARK_BITS", bits)
+    monkeypatch.setattr(jobs, "MARK_BITS", (bits, bits))
     df = spark.createDataFrame([(i if i % 7 else None, str(i)) for i in range(100)] + [(3, "again")], "k long, t string")
     keys = spark.createDataFrame([(3,), (4,), (4,), (99999,)], "k long")
     assert rows(jobs.without(df, keys, "k")) == rows(df.where("k is null or k not in (3, 4)"))
