@@ -55,10 +55,23 @@ def flag_name(name: str) -> str:
     return re.sub(r"\W", "_", name)
 
 
+def _core(pattern: str) -> str:
+    """The longest run of letters that every match of a pattern holds."""
+    return max(re.sub(r"\[[^]]*\](\{[^}]*\})?|[^A-Z]", " ", pattern).split(), key=len, default="")
+
+
+def matches(upper: Column, pattern: str) -> Column:
+    """Whether a pattern occurs; a plain search for letters that it can't do without comes first."""
+    core = _core(pattern)
+    if core == pattern:
+        return upper.contains(pattern)
+    return upper.contains(core) & upper.rlike(pattern) if len(core) > 1 else upper.rlike(pattern)
+
+
 def flags(seq: Column) -> list[Column]:
     """One INT column for each of FLAGS; a null sequence counts as empty."""
     upper = F.upper(F.coalesce(seq, F.lit("")))
-    return [upper.rlike(pattern).cast("int").alias(flag_name(name)) for name, pattern in FLAGS]
+    return [matches(upper, pattern).cast("int").alias(flag_name(name)) for name, pattern in FLAGS]
 
 
 def first_match(seq: Column, pattern: str) -> Column:
@@ -73,29 +86,35 @@ def gatekeeper(seq: Column) -> Column:
     return F.when(at >= 1, F.struct(F.substring(seq, at, F.lit(1)).alias("residue"), at.alias("position")))
 
 
-def _painted(places: Column, colour: str) -> Column:
-    return F.map_from_arrays(places, F.transform(places, lambda _: F.lit(colour)))
-
-
-def colours(seq: Column) -> Column:
-    """Map of 1-based position to colour: named motifs in order, then the gatekeeper, the last one wins (set mapKeyDedupPolicy)."""
-    out = F.create_map().cast("map<int,string>")
+def _places(seq: Column) -> list[tuple[Column, Column, str]]:
+    """(first position, last position, colour) of what is painted, in order; null positions where it isn't there."""
+    out = []
     for _, pattern, colour, _ in NAMED:
-        at, length = F.regexp_instr(seq, F.lit(pattern)), F.length(F.regexp_substr(seq, F.lit(pattern)))
-        places = F.when(at > 0, F.sequence(at, at + length - 1)).otherwise(F.array().cast("array<int>"))
-        out = F.map_concat(out, _painted(places, colour))
+        at = F.nullif(F.regexp_instr(seq, F.lit(pattern)), F.lit(0))
+        out.append((at, at + F.length(F.regexp_substr(seq, F.lit(pattern))) - 1, colour))
     at = F.regexp_instr(seq, F.lit("DFG")) - GATEKEEPER_BEFORE
-    places = F.when(at >= 1, F.array(at)).otherwise(F.array().cast("array<int>"))
-    return F.map_concat(out, _painted(places, GATEKEEPER_COLOUR))
+    at = F.when(at >= 1, at)
+    return [*out, (at, at, GATEKEEPER_COLOUR)]
 
 
 def highlighted(seq: Column) -> Column:
-    """The sequence as HTML, WRAP residues a line, with coloured motif residues."""
-    shown = F.transform(
-        F.sequence(F.lit(1), F.length(seq)),
-        lambda i: F.concat(
-            F.when((i > 1) & ((i - 1) % WRAP == 0), F.lit("<br>")).otherwise(F.lit("")),
-            F.when(F.element_at(colours(seq), i).isNotNull(), F.concat(F.lit('<span style="background: '), F.element_at(colours(seq), i), F.lit('">'), F.substring(seq, i, F.lit(1)), F.lit("</span>"))).otherwise(F.substring(seq, i, F.lit(1))),
-        ),
-    )
-    return F.when(F.length(seq) > 0, F.array_join(shown, "")).otherwise(F.lit(""))
+    """The sequence as HTML, WRAP residues a line, with coloured motif residues: named motifs in order, then the gatekeeper, the last one wins."""
+    painted = _places(seq)
+    # places are found once, in a struct that the positions' lambda reads
+    once = F.struct(seq.alias("s"), *(x.alias(f"{n}{k}") for k, (lo, hi, _) in enumerate(painted) for n, x in (("lo", lo), ("hi", hi))))
+
+    def show(m: Column) -> Column:
+        def residue(i: Column) -> Column:
+            colour = F.coalesce(*(F.when((i >= m[f"lo{k}"]) & (i <= m[f"hi{k}"]), c) for k, (_, _, c) in reversed(list(enumerate(painted)))))
+            letter = F.substring(m["s"], i, F.lit(1))
+            return F.when(colour.isNotNull(), F.concat(F.lit('<span style="background: '), colour, F.lit('">'), letter, F.lit("</span>"))).otherwise(letter)
+
+        def line(n: Column) -> Column:
+            first, last = n * WRAP + 1, F.least(n * WRAP + WRAP, F.length(m["s"]))
+            touched = F.coalesce(*(F.when((m[f"lo{k}"] <= last) & (m[f"hi{k}"] >= first), True) for k in range(len(painted))), F.lit(False))
+            # only lines with something painted are gone through letter by letter
+            return F.when(touched, F.array_join(F.transform(F.sequence(first, last), residue), "")).otherwise(F.substring(m["s"], first, F.lit(WRAP)))
+
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.length(m["s"]) - 1) / WRAP).cast("int")), line), "<br>")
+
+    return F.when(F.length(seq) > 0, F.transform(F.array(once), show)[0]).otherwise(F.lit(""))

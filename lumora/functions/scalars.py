@@ -70,8 +70,11 @@ def confidence_flag(p: Column, high: float = 0.7) -> Column:
     return F.when(p >= high, "high").otherwise("low")
 
 
+RECOMMEND_HIGH, RECOMMEND_LOW = "high confidence: can be used directly", "low confidence: review by hand or validate by experiment"
+
+
 def recommendation(flag: Column) -> Column:
-    return F.when(flag == "high", "high confidence: can be used directly").otherwise("low confidence: review by hand or validate by experiment")
+    return F.when(flag == "high", RECOMMEND_HIGH).otherwise(RECOMMEND_LOW)
 
 
 def integrity_band(score: Column) -> Column:
@@ -95,5 +98,16 @@ def mean_pool(layers: Column) -> Column:
     return F.coalesce(F.transform(total, lambda x: x / F.size(layers)), F.array().cast("array<double>"))
 
 
+def layer_residue_pool(layers: Column) -> Column:
+    """The mean over residues of the mean over layers, of layers x residues x dimensions."""
+    residues = F.transform(F.sequence(F.lit(0), F.size(F.get(layers, F.lit(0))) - 1), lambda r: mean_pool(F.transform(layers, lambda layer: F.get(layer, r))))
+    return mean_pool(residues)
+
+
+def cls_pick(layers: Column) -> Column:
+    """The first residue's vector in the last layer."""
+    return F.transform(F.get(F.element_at(layers, -1), F.lit(0)), lambda x: x.cast("double"))
+
+
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 
 import pandas as pd
 import pyarrow as pa
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..storage import stored
+
 BLOCK = 256  # sequences a block; a task compares two blocks
 
 
@@ -40,13 +41,6 @@ def identity(a: str, b: str) -> Column:
     return share(a, b)
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lumora-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def _all_pairs(s: DataFrame, least: float) -> DataFrame:
     """similar() of all pairs: sequences are dealt to blocks, and each pair of blocks is compared where it meets."""
     s = s.where("id is not null")
@@ -87,14 +81,14 @@ def greedy(seqs: DataFrame, least: float, word: int | None = None) -> DataFrame:
     Rounds decide all that can be decided: a sequence whose earlier neighbours are all members becomes a representative, one
     with an earlier representative a member; when none is left, each member takes its first representative.
     """
-    edges = _cut(similar(seqs, least, word))
-    nodes = _cut(seqs.select("id", F.length("seq").alias("n"), F.lit(None).cast("string").alias("state")))
+    edges = stored(similar(seqs, least, word))
+    nodes = stored(seqs.select("id", F.length("seq").alias("n"), F.lit(None).cast("string").alias("state")))
     while True:
         waiting = edges.join(nodes.select(F.col("id").alias("a"), F.col("state").alias("sa")), "a").groupBy(F.col("b").alias("id")).agg(
             F.max(F.when(F.col("sa") == "rep", 1).otherwise(0)).alias("near_rep"), F.max(F.when(F.col("sa").isNull(), 1).otherwise(0)).alias("open")
         )
         state = F.when(F.col("state").isNotNull(), F.col("state")).when(F.col("near_rep") == 1, "member").when(F.coalesce("open", F.lit(0)) == 0, "rep")
-        nodes = _cut(nodes.join(waiting, "id", "left").select("id", "n", state.alias("state")))
+        nodes = stored(nodes.join(waiting, "id", "left").select("id", "n", state.alias("state")))
         if nodes.where("state is null").isEmpty():
             break
     reps = nodes.where("state = 'rep'").select(F.col("id").alias("a"), "n")

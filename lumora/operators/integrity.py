@@ -69,3 +69,48 @@ def checklist(numbers: DataFrame, rules: dict[str, str]) -> DataFrame:
     n = numbers.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(".", "section", "key"), "value"))).alias("n"))  # a registry is small
     each = F.explode(F.array(*(F.struct(F.lit(name).alias("check"), F.coalesce(F.expr(rule), F.lit(False)).alias("passed"), F.lit(rule).alias("message")) for name, rule in rules.items())))
     return n.select(each.alias("c")).select("c.*")
+
+
+def tracked(asked: DataFrame, needed: dict[str, DataFrame], key: str) -> DataFrame:
+    """key, status of all that is asked for: used, or the first of the tables (name: keys) that lacks it."""
+    out = asked.select(key).distinct()
+    for i, df in enumerate(needed.values()):
+        out = out.join(df.select(key).distinct().withColumn(f"has_{i}", F.lit(True)), key, "left")
+    status = F.coalesce(*(F.when(F.col(f"has_{i}").isNull(), name) for i, name in enumerate(needed)), F.lit("used"))
+    return out.select(key, status.alias("status"))
+
+
+def embedding_sets(rows: DataFrame, base: str) -> DataFrame:
+    """config, n, dims, with_nan, same_ids: what sets of vectors (config, id, embedding) hold, and whether each has the ids of the one called base."""
+    e = F.col("embedding")
+    stats = rows.groupBy("config").agg(F.count("*").alias("n"), F.countDistinct(F.size(e)).alias("dims"), F.count(F.when(F.exists(e, lambda x: F.isnan(x)), 1)).alias("with_nan"))
+    ids = rows.select("config", "id").distinct()
+    configs = F.broadcast(rows.select("config").distinct())  # a handful
+    both = ids.where(F.col("config") == base).select("id").join(configs).withColumn("b", F.lit(True)).join(ids.withColumn("a", F.lit(True)), ["config", "id"], "full")
+    return stats.join(both.groupBy("config").agg(F.bool_and(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("same_ids")), "config")
+
+
+def manifest_checks(members: DataFrame, key: str) -> DataFrame:
+    """Whether a list of ids holds any, and each once."""
+    n = members.agg(F.count("*").alias("n"), F.countDistinct(key).alias("d"))
+    say = lambda name, col: F.concat(F.lit(f"{name}="), F.col(col).cast("string"))
+    return check(n, "not_empty", F.col("n") > 0, say("n", "n")).unionByName(check(n, "unique", F.col("n") == F.col("d"), F.concat_ws(" ", say("n", "n"), say("distinct", "d"))))
+
+
+def verify_package(hashes: tuple, counts: tuple, split: tuple, tables: tuple, orphans: tuple) -> DataFrame:
+    """Five checks of a package: file hashes, numbers of rows, the split, a table against its stored numbers, orphans."""
+    differ = lambda n: F.concat(F.lit("differ="), F.col(n).cast("string"))
+    bad = same_hashes(*hashes).where("status <> 'match'").agg(F.count("*").alias("n"))
+    sizes = counts[0].agg(F.count("*").alias("a")).crossJoin(F.broadcast(counts[1].agg(F.count("*").alias("b"))))  # one row each
+    c = split_counts(*split)
+    say = F.concat_ws(" ", *(F.concat(F.lit(f"{x}="), F.col(x).cast("string")) for x in ("n_overlap", "n_missing", "n_extra")))
+    wrong = agree(*tables).where(~F.col("passed")).agg(F.count("*").alias("n"))
+    return all_of(
+        [
+            check(bad, "hashes", F.col("n") == 0, differ("n")),
+            check(sizes, "counts", F.col("a") == F.col("b"), F.concat(F.lit("expected="), F.col("a").cast("string"), F.lit(" found="), F.col("b").cast("string"))),
+            check(c, "splits", (F.col("n_overlap") == 0) & (F.col("n_missing") == 0) & (F.col("n_extra") == 0), say),
+            check(wrong, "table", F.col("n") == 0, differ("n")),
+            subset(*orphans, "orphans"),
+        ]
+    )

@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.clustering import KMeans
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassifier
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.formats import exists
+from ..storage import stored
+
 SEED, FOLDS = 42, 5
 
 
@@ -62,7 +67,12 @@ def folds(train: DataFrame, k: int = FOLDS) -> DataFrame:
     take = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: F.floor((F.col("start") + F.col("n") - 1 - f) / k) - F.floor((F.col("start") - 1 - f) / k))
     upto = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.aggregate(F.slice("take", F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x))
     sizes = sizes.withColumn("take", take).withColumn("upto", upto).select("y", "upto")
-    ranked = train.withColumn("rank", F.row_number().over(W.partitionBy("y").orderBy("id")))
+    # ranks by ranges of ids, so that no class needs one task: places within a range, after those of the ranges before it
+    ranged = stored(train.repartitionByRange("y", "id").withColumn("part__", F.spark_partition_id()))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("y").orderBy("part__").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = ranged.groupBy("y", "part__").agg(F.count("*").alias("n")).select("y", "part__", before.alias("offset__"))  # a row a class and partition
+    within = F.row_number().over(W.partitionBy("y", "part__").orderBy("id"))
+    ranked = ranged.withColumn("within__", within).join(F.broadcast(offsets), ["y", "part__"]).withColumn("rank", F.col("within__") + F.col("offset__")).drop("within__", "offset__", "part__")
     return ranked.join(F.broadcast(sizes), "y").withColumn("fold", F.size(F.filter("upto", lambda u: u < F.col("rank")))).drop("rank", "upto")
 
 
@@ -72,7 +82,8 @@ def _sigmoids(margins: DataFrame, steps: int = 12) -> dict[tuple[int, str], tupl
     m = margins.withColumn("pos", (F.col("query_label") == F.col("label")).cast("double"))
     n = m.groupBy(*key).agg(F.sum("pos").alias("np"), F.sum(1 - F.col("pos")).alias("nn"))
     soft = F.when(F.col("pos") > 0, (F.col("np") + 1) / (F.col("np") + 2)).otherwise(1 / (F.col("nn") + 2))
-    m = m.join(F.broadcast(n), key).select(*key, "m", soft.alias("t")).cache()
+    m = m.join(F.broadcast(n), key).select(*key, "m", soft.alias("t"))
+    m = stored(m)
     fits = {(r.fold, r.label): (0.0, math.log((r.np + 1) / (r.nn + 1))) for r in n.collect()}
     spark = margins.sparkSession
     for _ in range(steps):
@@ -85,13 +96,12 @@ def _sigmoids(margins: DataFrame, steps: int = 12) -> dict[tuple[int, str], tupl
             det = haa * hbb - r.hab * r.hab
             a, b = fits[r.fold, r.label]
             fits[r.fold, r.label] = (a - (hbb * r.ga - r.hab * r.gb) / det, b - (haa * r.gb - r.hab * r.ga) / det)
-    m.unpersist()
     return fits
 
 
 def platt(train: DataFrame, rows: DataFrame, k: int = FOLDS, iterations: int = 1000) -> DataFrame:
     """query_id, query_label, label, p: the mean of k models' sigmoid-calibrated, renormalised one-against-rest probabilities."""
-    dealt = folds(train, k).cache()
+    dealt = stored(folds(train, k))
     held, asked = [], []
     for f in range(k):
         model, names, own = logistic(dealt.where(F.col("fold") != f).drop("fold"), dealt.where(F.col("fold") == f).drop("fold"), iterations)
@@ -106,17 +116,95 @@ def platt(train: DataFrame, rows: DataFrame, k: int = FOLDS, iterations: int = 1
     return p.groupBy("query_id", "query_label", "label").agg((F.sum("p") / k).alias("p"))
 
 
+START_ROWS = 20_000  # starts are drawn from a sample of so many rows at most, those with the least hash of id
+
+
+def _starts(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k rows of a sample, each drawn by its squared distance to those before."""
+    picked = [int(rng.integers(len(sample)))]
+    near = ((sample - sample[picked[0]]) ** 2).sum(axis=1)
+    while len(picked) < k:
+        picked.append(int(rng.choice(len(sample), p=near / near.sum())) if near.sum() > 0 else int(rng.integers(len(sample))))
+        near = np.minimum(near, ((sample - sample[picked[-1]]) ** 2).sum(axis=1))
+    return sample[picked]
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    d = (x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1)[None, :]
+    at = d.argmin(axis=1)
+    return at, np.maximum(d[np.arange(len(x)), at], 0)
+
+
+def k_means_fit(rows: DataFrame, k: int, tries: int = 10, seed: int = SEED, most: int = 100, settled: float = 1e-4) -> tuple[np.ndarray, float]:
+    """(centres, cost) of the best of several starts. All starts take their steps in the same pass over rows; the driver sees tries x k sums."""
+    vectors = stored(rows.select("id", vector_to_array("features").alias("v")))
+    sample = np.array([r.v for r in vectors.orderBy(F.xxhash64("id"), "id").limit(START_ROWS).collect()], dtype=np.float64)
+    if not len(sample):
+        raise ValueError("no rows to cluster")
+    limit = settled * float(sample.var(axis=0).mean())
+    centres = {t: _starts(sample, k, np.random.Generator(np.random.PCG64([seed, t]))) for t in range(tries)}
+    cost, open_ = dict.fromkeys(centres, math.inf), set(centres)
+    shape = "start int, cluster int, n long, cost double, sums array<double>"
+    for _ in range(most):
+        now = {t: centres[t] for t in sorted(open_)}
+
+        def step(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            sums = {t: [np.zeros_like(c), np.zeros(k, dtype=np.int64), np.zeros(k)] for t, c in now.items()}
+            for b in batches:
+                if b.num_rows:
+                    x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                    for t, c in now.items():
+                        at, d = _nearest(x, c)
+                        np.add.at(sums[t][0], at, x)
+                        sums[t][1] += np.bincount(at, minlength=k)
+                        sums[t][2] += np.bincount(at, weights=d, minlength=k)
+            rows_ = [(t, j, int(s[1][j]), float(s[2][j]), s[0][j].tolist()) for t, s in sums.items() for j in range(k) if s[1][j]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows_], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64())))], names=["start", "cluster", "n", "cost", "sums"])
+
+        parts = vectors.select("v").mapInArrow(step, shape)
+        each = parts.select("start", "cluster", "n", "cost", F.posexplode("sums").alias("i", "x")).groupBy("start", "cluster", "i").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), F.sum("x").alias("x"))
+        got = each.groupBy("start", "cluster").agg(F.max("n").alias("n"), F.max("cost").alias("cost"), F.array_sort(F.collect_list(F.struct("i", "x"))).alias("s")).collect()
+        total = dict.fromkeys(now, 0.0)
+        new = {t: c.copy() for t, c in now.items()}
+        for r in got:
+            total[r.start] += r.cost
+            new[r.start][r.cluster] = np.array([p.x for p in r.s]) / r.n
+        for t, c in now.items():
+            cost[t], centres[t] = total[t], new[t]
+            if ((new[t] - c) ** 2).sum() <= limit:
+                open_.discard(t)
+        if not open_:
+            break
+    best = min(centres, key=lambda t: (cost[t], t))
+    return centres[best], cost[best]
+
+
 def k_means(rows: DataFrame, k: int, tries: int = 10, seed: int = SEED) -> DataFrame:
     """id, y, cluster by the best of several starts."""
-    best = None
-    for i in range(tries):
-        model = KMeans(k=k, seed=seed + i, maxIter=50).fit(rows)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best.transform(rows).select("id", "y", F.col("prediction").alias("cluster"))
+    centres, _ = k_means_fit(rows, k, tries, seed)
+    return assign(rows, centres)
+
+
+def assign(rows: DataFrame, centres: np.ndarray) -> DataFrame:
+    """id, y, cluster: the nearest of a few centres."""
+    flat = F.array(*(F.array(*(F.lit(float(x)) for x in c)) for c in centres))
+    far = F.transform(flat, lambda c: F.aggregate(F.zip_with(c, vector_to_array("features"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x))
+    return rows.select("id", "y", far.alias("d")).select("id", "y", (F.array_position("d", F.array_min("d")) - 1).cast("int").alias("cluster"))
+
+
+def save(model, path: str) -> None:
+    """Store a fitted model; one that is there is an error."""
+    spark = SparkSession.getActiveSession()
+    if exists(spark, path):
+        raise FileExistsError(path)
+    model.write().save(path)
+
+
+def load(path: str) -> LogisticRegressionModel:
+    return LogisticRegressionModel.load(path)
 
 
-def network(train: DataFrame, rows: DataFrame, width: int, hidden: tuple[int, ...] = (256, 64), iterations: int = 100) -> DataFrame:
+def network(train: DataFrame, rows: DataFrame, width: int, hidden: tuple[int, ...] = (256, 64), iterations: int = 500) -> DataFrame:
     """id, y, predicted by a feed-forward network (sigmoid units, L-BFGS)."""
     index = StringIndexer(inputCol="y", outputCol="label", handleInvalid="skip", stringOrderType="alphabetAsc").fit(train)
     model = MultilayerPerceptronClassifier(layers=[width, *hidden, len(index.labels)], maxIter=iterations, seed=SEED).fit(index.transform(train))

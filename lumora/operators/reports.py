@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import base64
 import html
+from datetime import datetime, timezone
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import improvement, signed_percent
+from ..sources.formats import exists
 
 
 def entries(section: str, one_row: DataFrame, prefix: str = "") -> DataFrame:
@@ -71,12 +73,58 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys), keys, "left_anti").select(*old.columns).unionByName(new)
 
 
-def run_name() -> str:
-    from datetime import datetime, timezone
+def merged(spark: SparkSession, paths: list[str], older: list[str] = ()) -> DataFrame:
+    """section, key, value of all stored registries that are there; a section that none of them has comes from the older ones, the first that has it."""
+    shape = "section string, key string, value double"
+    read = lambda names: [spark.read.parquet(p).selectExpr("cast(section as string) section", "cast(key as string) key", "cast(value as double) value") for p in names if exists(spark, p)]
+    out = reduce(DataFrame.unionByName, read(paths), spark.createDataFrame([], shape))
+    for old in read(older):
+        out = out.unionByName(old.join(out.select("section").distinct(), "section", "left_anti").select("section", "key", "value"))
+    return out
+
+
+def formatted(rows: DataFrame, formats: dict[str, str]) -> DataFrame:
+    """rows with some columns as text in the given formats, as summary files have them."""
+    return rows.select(*(F.format_string(formats[c], F.col(c)).alias(c) if c in formats else F.col(c) for c in rows.columns))
+
 
+def run_name() -> str:
     return datetime.now(timezone.utc).strftime("%Y-%m-%d_%H%M%S")
 
 
+def run_id(at: Column) -> Column:
+    """The name of a run that began at a time."""
+    return F.date_format(at, "yyyy-MM-dd_HHmmss")
+
+
+def run_day(run: Column) -> Column:
+    """The day in a run's name; null if there is none."""
+    return F.nullif(F.regexp_extract(run, r"^(\d{4}-\d{2}-\d{2})_\d{6}", 1), F.lit(""))
+
+
+def run_init(spark: SparkSession, folder: str, run: str, note: str = "", force: bool = False) -> str:
+    """A folder for a run; one that is there is an error unless forced, which clears it."""
+    path = f"{folder}/runs/run_id={run}"
+    if exists(spark, path) and not force:
+        raise FileExistsError(path)
+    spark.createDataFrame([(note,)], "note string").coalesce(1).write.mode("overwrite").json(path)
+    return path
+
+
+def set_current(spark: SparkSession, folder: str, run: str) -> None:
+    if not exists(spark, f"{folder}/runs/run_id={run}"):
+        raise FileNotFoundError(f"{folder}/runs/run_id={run}")
+    spark.createDataFrame([(run,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/current")
+
+
+def run_listing(spark: SparkSession, folder: str) -> DataFrame:
+    """run_id, note, is_current, position of all runs, the newest first."""
+    rows = spark.read.schema("note string, run_id string").option("basePath", f"{folder}/runs").json(f"{folder}/runs")
+    now = spark.read.text(f"{folder}/current").agg(F.max("value").alias("now"))  # one row
+    at = F.row_number().over(W.orderBy(F.desc("run_id")))  # a row a run
+    return rows.crossJoin(F.broadcast(now)).select("run_id", "note", F.coalesce(F.col("run_id") == F.col("now"), F.lit(False)).alias("is_current"), at.alias("position"))
+
+
 STYLE = "body{font-family:sans-serif;margin:2em}table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:4px 8px}.card{display:inline-block;padding:1em;margin:.5em;border:1px solid #ccc}"
 
 

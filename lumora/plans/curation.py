@@ -74,9 +74,10 @@ def _length(s, d):
     return _docs(s, d).select("doc_id", F.length("text").alias("n")).where(F.col("n") >= _LEAST)
 
 
-@query("alphabet_check", "SELECT item_id, length(x) >= 50 AND regexp_matches(x, '^[ACDEFGHIKLMNPQRSTVWY]+$') AS valid FROM (SELECT item_id, upper(regexp_replace(replace(text, 'ß', 'SS'), '\\s+', '', 'g')) AS x FROM benchmark)")
+@query("alphabet_check", "SELECT doc_id, length(x) >= 50 AND regexp_matches(x, '^[ACDEFGHIKLMNPQRSTVWY]+$') AS valid FROM (SELECT doc_id, upper(regexp_replace(CASE WHEN doc_id % 2 = 0 THEN regexp_replace(text, '[^ACDEFGHIKLMNPQRSTVWYacdefghiklmnpqrstvwy]', '', 'g') ELSE replace(text, 'ß', 'SS') END, '\\s+', '', 'g')) AS x FROM documents)")
 def _alphabet(s, d):
-    return table(s, d, "benchmark").select("item_id", scalars.is_valid(scalars.normalised(F.col("text"))).alias("valid"))
+    letters = F.regexp_replace("text", "[^ACDEFGHIKLMNPQRSTVWYacdefghiklmnpqrstvwy]", "")
+    return _docs(s, d).select("doc_id", scalars.is_valid(scalars.normalised(F.when(F.col("doc_id") % 2 == 0, letters).otherwise(F.col("text")))).alias("valid"))
 
 
 @query("truncate_1022", "SELECT doc_id, length(substring(text, 1, 1022)) AS n, md5(substring(text, 1, 1022)) AS h FROM documents")
@@ -84,11 +85,11 @@ def _truncate(s, d):
     return _docs(s, d).select("doc_id", F.length(F.substring("text", 1, 1022)).alias("n"), F.md5(F.substring("text", 1, 1022)).alias("h"))
 
 
-@query("fasta_wrap", "SELECT item_id, '>' || CAST(item_id AS VARCHAR) || chr(10) || regexp_replace(replace(text, chr(10), ' '), '(.{60})', '\\1' || chr(10), 'g') AS record FROM benchmark")
+@query("fasta_wrap", "SELECT doc_id, '>' || CAST(doc_id AS VARCHAR) || chr(10) || regexp_replace(replace(text, chr(10), ' '), '(.{60})', '\\1' || chr(10), 'g') AS record FROM documents")
 def _wrap(s, d):
     flat = F.replace("text", F.lit("\n"), F.lit(" "))
     full = F.when((F.length(flat) % 60 == 0) & (F.length(flat) > 0), "\n").otherwise("")
-    return table(s, d, "benchmark").select("item_id", F.concat(F.lit(">"), F.col("item_id").cast("string"), F.lit("\n"), scalars.wrapped(flat), full).alias("record"))
+    return _docs(s, d).select("doc_id", F.concat(F.lit(">"), F.col("doc_id").cast("string"), F.lit("\n"), scalars.wrapped(flat), full).alias("record"))
 
 
 @query("exact_dedup_reps", f"SELECT {_HASH} AS group_key, min(doc_id) AS representative, count(*) AS n FROM documents GROUP BY 1")
@@ -232,7 +233,9 @@ def _split_report(s, d):
 
 
 @query("split_integrity", f"""WITH {_SPLIT}, x AS (SELECT side FROM documents JOIN sp USING (source)), c AS (SELECT count(*) FILTER (side = 'train') AS a, count(*) FILTER (side = 'test') AS b, (SELECT count(*) FROM documents) AS m FROM x)
-SELECT 'sizes_add_up' AS "check", a + b = m AS passed, 'n_train=' || a || ' n_test=' || b || ' n_members=' || m AS message FROM c UNION ALL SELECT 'disjoint', true, 'n_overlap=0' UNION ALL SELECT 'covers', true, 'n_missing=0 n_extra=0'""")
+SELECT 'sizes_add_up' AS "check", a + b = m AS passed, 'n_train=' || a || ' n_test=' || b || ' n_members=' || m AS message FROM c
+UNION ALL SELECT 'disjoint', count(*) = 0, 'n_overlap=' || count(*) FROM (SELECT doc_id FROM documents JOIN sp USING (source) GROUP BY doc_id HAVING count(DISTINCT side) > 1)
+UNION ALL SELECT 'covers', count(*) = 0, 'n_missing=' || count(*) || ' n_extra=0' FROM documents WHERE source NOT IN (SELECT source FROM sp)""")
 def _integrity(s, d):
     x = _sides(s, d)
     return integrity.split_integrity(_docs(s, d).select("doc_id"), x.where("side = 'train'"), x.where("side = 'test'"), "doc_id")
@@ -305,17 +308,27 @@ def _first(s, d):
     return u.select("doc_id", each.alias("x")).where("x.m.found").select("doc_id", "x.motif", "x.m.sequence", "x.m.position")
 
 
-@query("gatekeeper", f"WITH d AS (SELECT doc_id, {_UPPER} AS u FROM documents) SELECT doc_id, substring(u, strpos(u, 'DFG') - 15, 1) AS residue, strpos(u, 'DFG') - 15 AS position FROM d WHERE strpos(u, 'DFG') > 15")
+#: Prose rarely holds DFG; 'the' stands for it in every third document, so that there are rows.
+_GATE_TEXT = f"CASE WHEN doc_id % 3 = 0 THEN replace({_UPPER}, 'THE', 'DFG') ELSE {_UPPER} END"
+
+
+@query("gatekeeper", f"WITH d AS (SELECT doc_id, {_GATE_TEXT} AS u FROM documents) SELECT doc_id, substring(u, strpos(u, 'DFG') - 15, 1) AS residue, strpos(u, 'DFG') - 15 AS position FROM d WHERE strpos(u, 'DFG') > 15")
 def _gate(s, d):
-    g = motifs.gatekeeper(F.upper(F.coalesce("text", F.lit(""))))
+    upper = F.upper(F.coalesce("text", F.lit("")))
+    g = motifs.gatekeeper(F.when(F.col("doc_id") % 3 == 0, F.replace(upper, F.lit("THE"), F.lit("DFG"))).otherwise(upper))
     return _docs(s, d).select("doc_id", g.alias("g")).where("g is not null").select("doc_id", "g.residue", "g.position")
 
 
-@query("motif_highlight")
+_AT = "CASE WHEN regexp_matches(u, '{0}') THEN list_transform(range(strpos(u, regexp_extract(u, '{0}')), strpos(u, regexp_extract(u, '{0}')) + length(regexp_extract(u, '{0}'))), lambda x: CAST(x AS BIGINT)) ELSE [] END"
+_PAINTED = f"list_distinct(list_concat({', '.join(_AT.format(p) for _, p, _, _ in motifs.NAMED)}, CASE WHEN strpos(u, 'DFG') > 15 THEN [strpos(u, 'DFG') - 15] ELSE [] END))"
+
+
+@query("motif_highlight", f"WITH d AS (SELECT doc_id, {_UPPER} AS u FROM documents) SELECT doc_id, md5(u) AS shown_md5, CAST(len({_PAINTED}) AS BIGINT) AS painted, CAST(greatest(ceil(length(u) / 60.0), 1) - 1 AS BIGINT) AS breaks FROM d")
 def _highlight(s, d):
-    s.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
-    u = F.upper(F.coalesce("text", F.lit("")))
-    return table(s, d, "benchmark").select("item_id", motifs.highlighted(u).alias("html"))
+    shown = _docs(s, d).select("doc_id", motifs.highlighted(F.upper(F.coalesce("text", F.lit("")))).alias("h"))
+    tag = '<span style="background: #[0-9a-f]{6}">'
+    plain = F.regexp_replace(F.replace(F.replace("h", F.lit("</span>"), F.lit("")), F.lit("<br>"), F.lit("")), tag, "")
+    return shown.select("doc_id", F.md5(plain).alias("shown_md5"), F.regexp_count("h", F.lit(tag)).alias("painted"), F.regexp_count("h", F.lit("<br>")).alias("breaks"))
 
 
 @query("cluster_stats_hist", f"WITH {_SIZES} SELECT CASE WHEN n > 10 THEN '11+' ELSE CAST(n AS VARCHAR) END AS size, count(*) AS clusters FROM g GROUP BY 1")

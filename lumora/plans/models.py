@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import motifs, scalars
 from ..operators import integrity, learning, metrics, prediction, reports, vectors
+from ..storage import stored
 from .common import table, wide
 
 QUERIES, ORACLE = {}, {}
@@ -97,12 +98,12 @@ _NAMES = "names AS (SELECT true_label AS l FROM pred UNION SELECT predicted FROM
 
 @query("confusion", f"WITH {_VOTES}, {_NAMES} SELECT * FROM cc")
 def _confusion(s, d):
-    return metrics.confusion(_pred(s, d).cache())
+    return metrics.confusion(stored(_pred(s, d)))
 
 
 @query("confusion_norm", f"WITH {_VOTES}, {_NAMES} SELECT true_label, predicted, round(CASE WHEN sum(n) OVER w > 0 THEN n / sum(n) OVER w ELSE 0 END, 6) AS share FROM cc WINDOW w AS (PARTITION BY true_label)")
 def _norm(s, d):
-    return metrics.normalised(metrics.confusion(_pred(s, d).cache()))
+    return metrics.normalised(metrics.confusion(stored(_pred(s, d))))
 
 
 _PER = "names AS (SELECT true_label AS l FROM pred UNION SELECT predicted FROM pred), pc AS (SELECT l AS label, (SELECT count(*) FROM pred WHERE true_label = l) AS support, (SELECT count(*) FROM pred WHERE predicted = l) AS claimed, (SELECT count(*) FROM pred WHERE predicted = l AND true_label = l) AS tp FROM names), m AS (SELECT label, support, CASE WHEN claimed > 0 THEN tp / claimed ELSE 0 END AS precision, CASE WHEN support > 0 THEN tp / support ELSE 0 END AS recall, CASE WHEN support + claimed > 0 THEN 2 * tp / (support + claimed) ELSE 0 END AS f1 FROM pc)"
@@ -115,13 +116,13 @@ def _per_class(s, d):
 
 @query("classification_report", f"WITH {_VOTES}, {_PER} SELECT round((SELECT avg(CASE WHEN true_label = predicted THEN 1.0 ELSE 0 END) FROM pred), 6) AS accuracy, round(avg(f1), 6) AS macro_f1, round(sum(f1 * support) / sum(support), 6) AS weighted_f1, round(avg(precision), 6) AS macro_precision, round(avg(recall), 6) AS macro_recall FROM m")
 def _report(s, d):
-    return metrics.classification(_pred(s, d).cache())
+    return metrics.classification(stored(_pred(s, d)))
 
 
 @query("ari", f"""WITH {_VOTES}, z AS (SELECT sum(n * (n - 1) / 2) AS sij, sum(n) AS n FROM c), a AS (SELECT sum(m * (m - 1) / 2) AS sa FROM (SELECT sum(n) AS m FROM c GROUP BY true_label)), b AS (SELECT sum(m * (m - 1) / 2) AS sb FROM (SELECT sum(n) AS m FROM c GROUP BY predicted))
 SELECT round((sij - sa * sb / (n * (n - 1) / 2)) / ((sa + sb) / 2 - sa * sb / (n * (n - 1) / 2)), 6) AS ari FROM z, a, b""")
 def _ari(s, d):
-    return metrics.adjusted_rand(_pred(s, d).cache())
+    return metrics.adjusted_rand(stored(_pred(s, d)))
 
 
 @query("nmi", f"WITH {_VOTES}, w AS (SELECT n, sum(n) OVER () AS total, sum(n) OVER (PARTITION BY true_label) AS a, sum(n) OVER (PARTITION BY predicted) AS b FROM c) SELECT round(sum(n / total * ln(n * total / (a * b))) / ((sum(-n / total * ln(a / total)) + sum(-n / total * ln(b / total))) / 2), 6) AS nmi FROM w")
@@ -133,7 +134,7 @@ def _nmi(s, d):
 sq AS (SELECT CAST(x.i AS BIGINT) AS r, CAST(y.i AS BIGINT) AS c, coalesce((SELECT n FROM c JOIN tr USING (true_label) JOIN pr USING (predicted) WHERE tr.r = x.i AND pr.c = y.i), 0) AS n FROM range(10) x(i), range(10) y(i)),
 best AS (WITH {metrics.assignment_sql("sq", 10)}) SELECT round(best / (SELECT count(*) FROM pred), 6) AS assignment_accuracy FROM best""")
 def _assignment(s, d):
-    return metrics.assignment_accuracy(_pred(s, d).cache())
+    return metrics.assignment_accuracy(stored(_pred(s, d)))
 
 
 _E = metrics.edges()
@@ -148,7 +149,7 @@ def _reliability(s, d):
 
 @query("ece", f"WITH {_VOTES}, {_RELIABILITY} SELECT round(sum(CASE WHEN count > 0 THEN abs(fraction_positive - mean_confidence) * count / (SELECT count(*) FROM pred) END), 5) AS ece FROM r")
 def _ece(s, d):
-    return metrics.calibration_error(_pred(s, d).cache())
+    return metrics.calibration_error(stored(_pred(s, d)))
 
 
 @query("mean_pool", "WITH c AS (SELECT label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT CAST(label AS BIGINT) AS label, CAST(i - 1 AS BIGINT) AS dim, round(avg(e[i]), 6) AS value FROM c, range(1, 65) r(i) GROUP BY ALL")
@@ -202,7 +203,7 @@ def _runs(s, d):
 
 
 def _numbers(s, d):
-    pred = _pred(s, d).cache()
+    pred = stored(_pred(s, d))
     data = table(s, d, "embeddings").agg(F.count("*").alias("n"), F.countDistinct("label").alias("classes"))
     return reports.registry([reports.entries("dataset", data), reports.entries("knn", metrics.classification(pred)), reports.entries("clustering", metrics.adjusted_rand(pred)), reports.entries("calibration", metrics.calibration_error(pred))])
 
@@ -220,31 +221,31 @@ UNION ALL SELECT 'calibration', 'ece', round(sum(CASE WHEN count > 0 THEN abs(fr
 
 def _prepared(s, d):
     q, g = _sides(s, d)
-    return learning.features(g, "vec_id", "embedding", "label").cache(), learning.features(q, "vec_id", "embedding", "label").cache()
+    return tuple(stored(learning.features(x, "vec_id", "embedding", "label")) for x in (g, q))
 
 
 @query("logreg")
 def _logreg(s, d):
     train, rows = _prepared(s, d)
-    _, names, scored = learning.logistic(train, rows, 200)
+    _, names, scored = learning.logistic(train, rows)
     return learning.distribution(scored, names)
 
 
 @query("platt")
 def _platt(s, d):
     train, rows = _prepared(s, d)
-    return learning.platt(train, rows, iterations=100)
+    return learning.platt(train, rows)
 
 
 @query("kmeans_best_of_n")
 def _kmeans(s, d):
-    every = learning.features(table(s, d, "embeddings"), "vec_id", "embedding", "label").cache()
+    every = learning.features(table(s, d, "embeddings"), "vec_id", "embedding", "label")
     return learning.k_means(every, 10)
 
 
 @query("mlp")
 def _mlp(s, d):
-    return learning.network(*_prepared(s, d), 64, iterations=30)
+    return learning.network(*_prepared(s, d), 64)
 
 
 @query("random_stratified", """WITH c AS (SELECT CAST(label AS VARCHAR) AS c, count(*) AS n FROM embeddings WHERE vec_id % 5 <> 0 GROUP BY 1), sh AS (SELECT c, sum(n) OVER (ORDER BY c) - n AS lo, sum(n) OVER (ORDER BY c) AS hi, sum(n) OVER () AS total FROM c),
@@ -257,11 +258,77 @@ def _chance(s, d):
 @query("motif_logreg")
 def _motif_model(s, d):
     docs = table(s, d, "documents").select("doc_id", F.col("lang").alias("y"), F.array(*(c.cast("double") for c in motifs.flags(F.col("text")))).alias("v"))
-    x = learning.features(docs, "doc_id", "v", "y").cache()
-    _, names, scored = learning.logistic(x.where("id % 5 <> 0"), x.where("id % 5 = 0"), 50)
+    x = stored(learning.features(docs, "doc_id", "v", "y"))
+    _, names, scored = learning.logistic(x.where("id % 5 <> 0"), x.where("id % 5 = 0"))
     return learning.distribution(scored, names)
 
 
+# What models have to fulfil whatever their weights are: sums of probabilities, gradients of nought, nearest centres, every row once.
+_TRUE = lambda *names: " UNION ALL ".join(f"SELECT '{n}' AS \"check\", true AS passed" for n in names)
+_ASKED = "SELECT count(*) FROM embeddings WHERE vec_id % 5 = 0"
+
+
+def _sums(p, rows: int, tolerance: float = 1e-6):
+    per = p.groupBy("query_id").agg(F.sum("p").alias("s"), F.min("p").alias("least"))
+    return per.agg((F.max(F.abs(F.col("s") - 1)) < tolerance).alias("sums_to_one"), (F.min("least") >= 0).alias("not_negative"), (F.count("*") == rows).alias("every_row"))
+
+
+def _checks(one_row):
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("check"), F.col(c).alias("passed")) for c in one_row.columns)))
+    return one_row.select(each.alias("x")).select("x.*")
+
+
+def _at_rest(train, model, names):
+    """Whether the gradient of the balanced, regularised log-likelihood is nought: by class and dimension, within a thousandth of the weights' scale."""
+    weighted, _, n = learning._weighted(train)
+    w = model.coefficientMatrix.toArray()
+    g = model.transform(weighted).select(F.posexplode(vector_to_array("probability")).alias("k", "p"), "label", "w", vector_to_array("features").alias("v"))
+    g = g.select("k", ((F.col("p") - (F.col("k") == F.col("label")).cast("double")) * F.col("w")).alias("e"), F.posexplode("v").alias("i", "x")).groupBy("k", "i").agg(F.sum(F.col("e") * F.col("x")).alias("g"))
+    flat = F.array(*(F.array(*(F.lit(float(x)) for x in row)) for row in w))
+    return g.select(F.abs(F.col("g") + F.get(F.get(flat, F.col("k")), F.col("i"))).alias("g")).agg((F.max("g") < 1e-2 * (1 + float(abs(w).max()))).alias("gradient_is_nought"))
+
+
+@query("logreg_check", _TRUE("sums_to_one", "not_negative", "every_row", "gradient_is_nought"))
+def _logreg_check(s, d):
+    train, rows = _prepared(s, d)
+    model, names, scored = learning.logistic(train, rows)
+    return _checks(_sums(learning.distribution(scored, names), rows.count())).unionByName(_checks(_at_rest(train, model, names)))
+
+
+@query("platt_check", _TRUE("sums_to_one", "not_negative", "every_row"))
+def _platt_check(s, d):
+    train, rows = _prepared(s, d)
+    return _checks(_sums(learning.platt(train, rows), rows.count()))
+
+
+@query("kmeans_check", _TRUE("every_row", "centres_are_means", "better_than_one_start"))
+def _kmeans_check(s, d):
+    every = stored(learning.features(table(s, d, "embeddings"), "vec_id", "embedding", "label"))
+    centres, cost = learning.k_means_fit(every, 10)
+    _, one = learning.k_means_fit(every, 10, 1)
+    got = learning.assign(every, centres).join(every.select("id", vector_to_array("features").alias("v")), "id")
+    flat = F.array(*(F.array(*(F.lit(float(x)) for x in c)) for c in centres))
+    means = got.select("cluster", F.posexplode("v").alias("i", "x")).groupBy("cluster", "i").agg(F.avg("x").alias("m"))
+    off = means.agg((F.max(F.abs(F.col("m") - F.get(F.get(flat, F.col("cluster")), F.col("i")))) < 1e-2).alias("centres_are_means"))
+    rows = got.agg((F.count("*") == every.count()).alias("every_row"))
+    return _checks(rows).unionByName(_checks(off)).unionByName(_checks(rows.select(F.lit(cost <= one + 1e-9).alias("better_than_one_start"))))
+
+
+@query("mlp_check", _TRUE("every_row", "known_classes", "fits_its_training_rows"))
+def _mlp_check(s, d):
+    train, rows = _prepared(s, d)
+    got = learning.network(train, train.unionByName(rows), 64).withColumn("right", (F.col("y") == F.col("predicted")).cast("int"))
+    names = [r.y for r in train.select("y").distinct().collect()]  # a row a class
+    held = got.join(rows.select("id"), "id", "left_semi").agg((F.count("*") == rows.count()).alias("every_row"), F.bool_and(F.col("predicted").isin(names)).alias("known_classes"))
+    return _checks(held).unionByName(_checks(got.join(train.select("id"), "id", "left_semi").agg((F.avg("right") > 0.9).alias("fits_its_training_rows"))))
+
+
+@query("motif_logreg_check", _TRUE("sums_to_one", "not_negative", "every_row"))
+def _motif_check(s, d):
+    p = _motif_model(s, d)
+    return _checks(_sums(p, table(s, d, "documents").where("doc_id % 5 = 0").count()))
+
+
 @query("standardised", """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), m AS (SELECT avg(e[1]) AS a, stddev_pop(e[1]) AS s, avg(e[64]) AS b, stddev_pop(e[64]) AS t FROM e WHERE vec_id % 5 <> 0)
 SELECT vec_id, round((e[1] - a) / s, 6) AS first, round((e[64] - b) / t, 6) AS last FROM e, m WHERE vec_id % 5 = 0""")
 def _standardised(s, d):

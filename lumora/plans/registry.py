@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curation, models
+from . import curation, files, models
 
-MODULES = (curation, models)
+MODULES = (curation, models, files)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,3 +59,27 @@ def merged_hits(parts: list[DataFrame], path: str, mode: str = REFUSE) -> None:
     for p in parts[1:]:
         out = out.unionByName(p)
     out.where(~F.col("value").startswith("#")).select("value").write.mode(mode).text(path)
+
+
+def matrix(df: DataFrame, path: str) -> int:
+    """The vectors of a table's one column as .npy files, one for each partition that has rows; returns how many.
+
+    Executors write straight to the folder, so it has to be a mounted one that all of them share.
+    """
+    folder, name = path.removeprefix("file:"), df.columns[0]
+    if "://" in folder:
+        raise ValueError(f"{path} is not a mounted folder")
+    if os.path.exists(folder):
+        raise FileExistsError(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [np.asarray(b.column(0).flatten().to_numpy(zero_copy_only=False), dtype=np.float32).reshape(b.num_rows, -1) for b in batches if b.num_rows]
+        if parts:
+            os.makedirs(folder, exist_ok=True)
+            hidden = f"{folder}/.{uuid.uuid4().hex}"  # a task that is run again leaves no half file behind
+            with open(hidden, "wb") as f:
+                np.save(f, np.concatenate(parts), allow_pickle=False)
+            os.replace(hidden, f"{folder}/{TaskContext.get().partitionId():06d}.npy")
+            yield pa.RecordBatch.from_arrays([pa.array([1])], names=["n"])
+
+    return df.select(F.col(f"`{name}`").cast("array<float>")).mapInArrow(run, "n long").count()

@@ -68,6 +68,14 @@ def test_gatekeeper(spark):
 
 
 def test_highlight(spark):
-    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     html = one(spark, motifs.highlighted(F.lit("T" + "A" * 14 + "DFG")))
     assert html.count("<span") == 4 and motifs.GATEKEEPER_COLOUR in html and one(spark, motifs.highlighted(F.lit(""))) == ""
+
+
+def test_flags_look_for_letters_first():
+    assert motifs._core("DFG[IL]") == "DFG" and motifs._core("R[^P]D[LIVF]") in "RD" and motifs._core("[DE]{3,}") == "" and motifs._core("NP.Y") == "NP"
+
+
+def test_pooling(spark):
+    layers = F.array(*(F.array(*(F.array(F.lit(float(a + r)), F.lit(1.0)) for r in range(3))) for a in (0, 10)))
+    assert one(spark, scalars.layer_residue_pool(layers)) == [6.0, 1.0] and one(spark, scalars.cls_pick(layers)) == [10.0, 1.0]

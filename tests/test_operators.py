@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,3 +233,48 @@ def test_predict(spark):
     assert [tuple(c) for c in r.classes] == [("A", 0.4), ("B", 0.4), ("C", 0.1)] and r.n_motifs > 0
     assert all(got[i].predicted is None and got[i].domain is None for i in (2, 3, 4, 5))
     assert prediction.predict(seqs.limit(0), hits, scored, near, F.lit(True)).count() == 0
+
+
+def test_best_assignment_of_any_size():
+    from itertools import permutations
+
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 6):
+        gain = rng.integers(0, 9, (n, n)).astype(float)
+        assert metrics.best_assignment(gain) == max(sum(gain[i, p[i]] for i in range(n)) for p in permutations(range(n)))
+    gain = rng.integers(0, 50, (60, 60)).astype(float)
+    hidden = rng.permutation(60)
+    gain[np.arange(60), hidden] = 50
+    assert metrics.best_assignment(gain) == 3000
+
+
+def test_k_means_finds_blobs_in_one_pass_for_all_starts(spark):
+    rng = np.random.default_rng(2)
+    data = [(i, (np.array([10.0 * (i % 4), -10.0 * (i % 4)]) + rng.normal(size=2)).tolist(), str(i % 4)) for i in range(400)]
+    x = learning.features(spark.createDataFrame(data, "k long, v array<double>, y string"), "k", "v", "y")
+    out = learning.k_means(x, 4)
+    per = {(r.y, r.cluster) for r in out.collect()}
+    assert len(per) == 4 and out.count() == 400
+    centres, cost = learning.k_means_fit(x, 4)
+    flat = np.array([v for _, v, _ in data])
+    assert abs(cost - ((flat[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1).sum()) < 1e-3 * cost
+
+
+def test_runs(spark, tmp_path):
+    folder = str(tmp_path)
+    reports.run_init(spark, folder, "2026-01-01_000000", "a")
+    with pytest.raises(FileExistsError):
+        reports.run_init(spark, folder, "2026-01-01_000000")
+    with pytest.raises(FileNotFoundError):
+        reports.set_current(spark, folder, "2026-01-02_000000")
+    reports.run_init(spark, folder, "2026-01-01_000000", "b", force=True)
+    reports.set_current(spark, folder, "2026-01-01_000000")
+    assert rows(reports.run_listing(spark, folder)) == [("2026-01-01_000000", "b", True, 1)]
+    assert spark.range(1).select(reports.run_day(F.lit("2026-01-01_000000")).alias("a"), reports.run_day(F.lit("x")).alias("b")).first() == ("2026-01-01", None)
+
+
+def test_tracked_and_sets(spark):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id long")
+    assert rows(integrity.tracked(ids(1, 2, 3, 3), {"no a": ids(1, 2), "no b": ids(1)}, "id")) == [(1, "used"), (2, "no b"), (3, "no a")]
+    v = spark.createDataFrame([("a", 1, [0.0]), ("a", 2, [1.0]), ("b", 2, [float("nan")]), ("b", 1, [1.0]), ("c", 1, [1.0, 2.0])], "config string, id long, embedding array<double>")
+    assert {r.config: (r.n, r.with_nan, r.same_ids) for r in integrity.embedding_sets(v, "a").collect()} == {"a": (2, 0, True), "b": (2, 1, True), "c": (1, 0, False)}
