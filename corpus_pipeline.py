@@ -1,7 +1,10 @@
 """From raw documents to token ids: five operators of lumora.llm, one after the other.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the last return the
-columns of documents.
+columns of documents. What a stage does with nulls, empty and long texts, ties, repeated rows and further columns is its
+operator's: rows without a text are scored, kept and encoded like empty ones; rows without a doc_id stay unless the classifier or
+the decontamination rejects them; rows that repeat a doc_id are judged each by its own text; further columns are carried through to the last
+stage, whose result has its own. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality), ("near duplicates", near_duplicates), ("benchmark decontamination", decontamination), ("secret scan", secret_scan), ("tokens", tokenise)]
 
-#: No stage but the third has an equivalent in SQL.
+#: SQL can express the near-duplicates and the decontamination, but neither the classifier before nor the tokens after them.
 ORACLE_SQL = None
 
 
