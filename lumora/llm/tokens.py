@@ -36,7 +36,7 @@ DROPOUT, SEED, VARIANTS = 0.1, 17, 0
 SPACE = "▁"
 _LONG = 48  # chunks of more symbols go through the agenda one by one, in n log n steps
 _SHARED = 3  # skipped merges up to which occurrences share their work; beyond, each is merged by itself
-KNOWN = 1 << 18  # agendas that a worker keeps; it starts afresh beyond that
+KNOWN, SLICE = 1 << 19, 1 << 20  # agendas that a worker keeps (it starts afresh beyond that), bytes encoded at a time
 _U = np.uint64
 
 
@@ -238,7 +238,8 @@ class Known:
     """
 
     def __init__(self) -> None:
-        self.at: dict[int, int] = {}
+        self.n, self.bits = 0, max(8, (2 * KNOWN - 1).bit_length() + 1)
+        self.keys, self.number = np.zeros(1 << self.bits, dtype=_U), np.zeros(1 << self.bits, dtype=np.int32)  # open addressing; 0 is free
         self.symbols, self.places = np.zeros(1 << 16, dtype=np.int32), np.zeros(1 << 16, dtype=_U)
         self.ends, self.merges = np.zeros((2, 1 << 12), dtype=np.int64), np.zeros((2, 1 << 12), dtype=np.int64)  # where each begins and how many it has
 
@@ -250,8 +251,39 @@ class Known:
         out[..., : a.shape[-1]] = a
         return out
 
+    def _spot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _U(0x9E3779B97F4A7C15)) >> _U(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each agenda, -1 if it isn't known."""
+        out, left, at = np.full(len(keys), -1, dtype=np.int64), np.arange(len(keys)), self._spot(keys)
+        while len(left):
+            have = self.keys[at]
+            hit = have == keys[left]
+            out[left[hit]] = self.number[at[hit]]
+            go = ~hit & (have != 0)
+            left, at = left[go], (at[go] + 1) & (len(self.keys) - 1)
+        return out
+
+    def _insert(self, keys: np.ndarray) -> None:
+        left, at = np.arange(len(keys)), self._spot(keys)
+        while len(left):
+            free = np.flatnonzero(self.keys[at] == 0)
+            spots, first = np.unique(at[free], return_index=True)
+            put = free[first]  # of those that want a spot the first has it
+            self.keys[spots], self.number[spots] = keys[left[put]], self.n + left[put]
+            stay = np.ones(len(left), dtype=bool)
+            stay[put] = False
+            left, at = left[stay], (at[stay] + 1) & (len(self.keys) - 1)
+        self.n += len(keys)
+
     def add(self, keys: np.ndarray, got: np.ndarray, gb: np.ndarray, places: np.ndarray, merges: np.ndarray) -> None:
-        n = len(self.at)
+        n = self.n
+        if 2 * (n + len(keys)) > len(self.keys):
+            old, numbers = self.keys[self.keys != 0], self.number[self.keys != 0]
+            self.bits += max(1, (2 * (n + len(keys)) // len(self.keys)).bit_length())
+            self.keys, self.number, self.n = np.zeros(1 << self.bits, dtype=_U), np.zeros(1 << self.bits, dtype=np.int32), 0
+            self._insert(old[np.argsort(numbers)])
         s0 = int(self.ends[:, n - 1].sum()) if n else 0
         p0 = int(self.merges[:, n - 1].sum()) if n else 0
         to = n + len(keys)
@@ -260,7 +292,7 @@ class Known:
         self.symbols[s0 : s0 + len(got)], self.places[p0 : p0 + len(places)] = got, places
         self.ends[:, n:to] = s0 + gb[:-1], np.diff(gb)
         self.merges[:, n:to] = p0 + np.cumsum(merges) - merges, merges
-        self.at.update(zip(keys.tolist(), range(n, to), strict=True))
+        self._insert(keys)
 
 
 @cache
@@ -296,8 +328,7 @@ def draw(v: Vocabulary, have: Known, out: np.ndarray, ids: np.ndarray, bounds: n
 
     def look(nodes: np.ndarray, chunks: np.ndarray, barred: np.ndarray) -> np.ndarray:
         """The number of each agenda; those not known yet are gone through."""
-        get = have.at.get
-        at = np.array([get(k, -1) for k in nodes.tolist()], dtype=np.int64)
+        at = have.find(nodes)
         new = np.flatnonzero(at < 0)
         if len(new):
             flat, to = places_of(chunks[new])
@@ -305,7 +336,7 @@ def draw(v: Vocabulary, have: Known, out: np.ndarray, ids: np.ndarray, bounds: n
             got, gb = merge_all(v, ids[flat], to, np.zeros(len(new), dtype=_U), 0.0, barred[new], log)
             seg = np.concatenate([x for x, _ in log]) if log else np.zeros(0, dtype=np.int64)
             place = np.concatenate([x for _, x in log]) if log else np.zeros(0, dtype=_U)
-            at[new] = len(have.at) + np.arange(len(new))
+            at[new] = have.n + np.arange(len(new))
             have.add(nodes[new], *_whole(v, out, ids, flat, got, gb), place[np.argsort(seg, kind="stable")], np.bincount(seg, minlength=len(new)))
         return at
 
@@ -337,7 +368,7 @@ def draw(v: Vocabulary, have: Known, out: np.ndarray, ids: np.ndarray, bounds: n
         place = have.places[begin[parent] + done]
         barred = np.column_stack((barred[parent], place))
         with np.errstate(over="ignore"):
-            nodes = mix(nodes[parent] ^ mix(place + _U(len(barred.T))))
+            nodes = np.maximum(mix(nodes[parent] ^ mix(place + _U(len(barred.T)))), _U(1))
         chunks, node = chunks[parent], node_
     alone[occ] = alone[~short] = True
     start, size = have.ends[:, number]
@@ -365,7 +396,7 @@ def _code_points(raw: np.ndarray) -> np.ndarray:
 def encode_slice(v: Vocabulary, raw: np.ndarray, off: np.ndarray, docs: np.ndarray, dropout: float, seed: int, variants: int, have: Known | None = None) -> list[np.ndarray]:
     """The ids of each row of a slice; docs: a number for each row, that its draws are keyed by; have: agendas known from before."""
     have = Known() if have is None else have
-    if len(have.at) > KNOWN:
+    if have.n > KNOWN:
         have.__init__()
     lead = (raw & 0xC0) != 0x80
     at = np.concatenate(([0], np.cumsum(lead)))[off]  # rows in code points
@@ -395,7 +426,7 @@ def encode_slice(v: Vocabulary, raw: np.ndarray, off: np.ndarray, docs: np.ndarr
     with np.errstate(over="ignore"):
         h = mix(out.astype(_U) + _U(1))
         place = np.arange(total) - np.repeat(cuts, np.diff(bounds))
-        h = np.add.reduceat(mix(h ^ place.astype(_U) * _U(0xC2B2AE3D27D4EB4F)), cuts)
+        h = np.maximum(np.add.reduceat(mix(h ^ place.astype(_U) * _U(0xC2B2AE3D27D4EB4F)), cuts), _U(1))
         nth = np.arange(len(cuts)) - np.searchsorted(owner, owner)
         pick = mix(mix(docs.astype(np.int64).view(_U)[owner] ^ _U(seed)) + nth.astype(_U))
         if variants:
@@ -435,7 +466,7 @@ def encode(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, variants
         for batch in batches:
             ids = column(batch, "doc_id").cast(pa.int64())
             numbers = ids.fill_null(-1).to_numpy(zero_copy_only=False)
-            for lo, hi, raw, off in slices(column(batch, "text")):
+            for lo, hi, raw, off in slices(column(batch, "text"), SLICE):
                 rows = encode_slice(v, raw, off, numbers[lo:hi], dropout, seed, variants, known(model))
                 good = [decode_bytes(v, r) == raw[off[i] : off[i + 1]].tobytes() for i, r in enumerate(rows)]
                 n = np.array([len(r) for r in rows], dtype=np.int64)
