@@ -37,3 +37,9 @@ def test_digests(spark):
     assert got[1] == (3, sha("user\na\nassistant\nb<|im_end|>\nassistant\n\n"), 11, sha("b<|im_end|>"))
     assert got[2] == (2, sha("system\ns\n\nx\n"), 0, sha("")) and got[None][0] == 1
     assert C.digests(C.render(df.limit(0))).count() == 0
+
+
+def test_repeated_rows_are_turns(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert [tuple(r)[:5] for r in rows(C.digests(C.render(df)))] == [(1, 4, sha("user\na\n" * 2 + "assistant\nb\n" * 2), 2, sha("bb"))]

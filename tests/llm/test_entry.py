@@ -47,3 +47,28 @@ def test_pipeline(spark):
     assert ids(j) == ids(i) and j.where("not lossless").count() == 0
     assert all(x.columns == docs.columns for x in (b, d, f, h))
     assert ids(P.run(spark, SF)) == ids(j)
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls, repeats, empty and long texts, further columns that have names of the operators' own, and empty tables."""
+    import corpus_pipeline as P
+
+    sf, none = str(tmp_path / "sf"), str(tmp_path / "none")
+    hit = "a b c d e f g h i j"
+    data = [(1, "one text of some words that is good"), (1, "one text of some words that is good"), (1, "another text that has this id too"), (2, None), (3, ""), (None, "no id but a text"), (4, f"x {hit} y"), (1, f"and {hit}"), (5, "w " * 60_000 + "password = abcdefghijklmnop123")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "k", 7, [1]) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long, set string, row int, ids array<int>")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(9)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, hit)], "item_id long, text string")
+    for folder, limit in ((sf, 100), (none, 0)):
+        for name, df in (("documents", docs), ("labels", labels), ("benchmark", items)):
+            df.limit(limit).write.parquet(f"{folder}/{name}.parquet")
+    at = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in P.STAGES[:-1]:
+        at = stage(spark, at, sf)
+        assert at.columns == docs.columns, name
+    kept = sorted(((r.doc_id, r.text) for r in at.collect()), key=str)
+    want = [(1, "one text of some words that is good"), (1, "another text that has this id too"), (2, None), (3, ""), (None, "no id but a text"), (5, "w " * 60_000 + "[REDACTED:assign]")]
+    assert kept == sorted(want, key=str)
+    out = P.run(spark, sf).collect()
+    assert sorted((str(r.doc_id), r.lossless) for r in out) == sorted((str(i), True) for i, _ in want)
+    assert P.run(spark, none).count() == 0

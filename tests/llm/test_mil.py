@@ -82,6 +82,8 @@ def test_operator(spark):
     model = M.train(df, labels)
     out = rows(M.score(df, model))
     assert len(out) == 66 and all(0 <= s <= 1 for _, _, s, _ in out) and all(p == i % 2 for i, _, _, p in out if i < 60)
+    twice = rows(M.score(df.union(df), model))
+    assert len(twice) == 132 and sorted(set(twice), key=str) == sorted(set(out), key=str)
     kept = M.keep_good(df, model)
     assert kept.columns == df.columns and rows(kept.where("doc_id < 60").select("doc_id")) == [(i,) for i in range(1, 60, 2)]
     assert M.score(df.limit(0), model).count() == 0 and M.train(df.limit(0), labels).score(np.zeros((1, M.FEATURES)), np.full((1, M.PASSAGE), M.BUCKETS, dtype=np.uint16), np.array([0]))[0] == 0.5
