@@ -144,31 +144,29 @@ def k_means_fit(rows: DataFrame, k: int, tries: int = 10, seed: int = SEED, most
     limit = settled * float(sample.var(axis=0).mean())
     centres = {t: _starts(sample, k, np.random.Generator(np.random.PCG64([seed, t]))) for t in range(tries)}
     cost, open_ = dict.fromkeys(centres, math.inf), set(centres)
-    shape = "start int, cluster int, n long, cost double, sums array<double>"
+    shape, dim = "start int, sums array<double>", sample.shape[1]
     for _ in range(most):
         now = {t: centres[t] for t in sorted(open_)}
 
         def step(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            sums = {t: [np.zeros_like(c), np.zeros(k, dtype=np.int64), np.zeros(k)] for t, c in now.items()}
+            sums = {t: np.zeros((k, dim + 2)) for t in now}  # of each cluster: its vectors, how many, their cost
             for b in batches:
                 if b.num_rows:
                     x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
                     for t, c in now.items():
                         at, d = _nearest(x, c)
-                        np.add.at(sums[t][0], at, x)
-                        sums[t][1] += np.bincount(at, minlength=k)
-                        sums[t][2] += np.bincount(at, weights=d, minlength=k)
-            rows_ = [(t, j, int(s[1][j]), float(s[2][j]), s[0][j].tolist()) for t, s in sums.items() for j in range(k) if s[1][j]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows_], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64())))], names=["start", "cluster", "n", "cost", "sums"])
-
-        parts = vectors.select("v").mapInArrow(step, shape)
-        each = parts.select("start", "cluster", "n", "cost", F.posexplode("sums").alias("i", "x")).groupBy("start", "cluster", "i").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), F.sum("x").alias("x"))
-        got = each.groupBy("start", "cluster").agg(F.max("n").alias("n"), F.max("cost").alias("cost"), F.array_sort(F.collect_list(F.struct("i", "x"))).alias("s")).collect()
-        total = dict.fromkeys(now, 0.0)
-        new = {t: c.copy() for t, c in now.items()}
-        for r in got:
-            total[r.start] += r.cost
-            new[r.start][r.cluster] = np.array([p.x for p in r.s]) / r.n
+                        own = np.zeros((k, b.num_rows))
+                        own[at, np.arange(b.num_rows)] = 1
+                        sums[t] += own @ np.column_stack((x, np.ones(b.num_rows), d))
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.ravel().tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["start", "sums"])
+
+        def add(t: pa.Table) -> pa.Table:
+            return pa.table({"start": t["start"][:1], "sums": pa.array([np.sum(t["sums"].to_pylist(), axis=0).tolist()], pa.list_(pa.float64()))})
+
+        total, new = {}, {}
+        for r in vectors.select("v").mapInArrow(step, shape).groupBy("start").applyInArrow(add, shape).collect():  # a row a start
+            x = np.array(r.sums).reshape(k, dim + 2)
+            total[r.start], new[r.start] = float(x[:, -1].sum()), np.where(x[:, -2:-1] > 0, x[:, :dim] / np.maximum(x[:, -2:-1], 1), now[r.start])
         for t, c in now.items():
             cost[t], centres[t] = total[t], new[t]
             if ((new[t] - c) ** 2).sum() <= limit:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 #: Rows of a side that meet in one task; a block of either side travels once to each block of the other.
 BLOCK = 4096
 DIGITS = 6
@@ -35,9 +38,10 @@ def _sides(queries: DataFrame, gallery: DataFrame, key: str, vector: str, label:
     return rows[0].unionByName(rows[1])
 
 
-def top_k(queries: DataFrame, gallery: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
-    """query_id, query_label, rank, gallery_id, gallery_label, sim: the k nearest by cosine (rounded to DIGITS), ties by id."""
+_NEAREST = "query_id long, query_label string, gallery_id long, gallery_label string, sim double"
 
+
+def _nearest(k: int):
     def run(t: pa.Table) -> pa.Table:
         side = t["side"].to_numpy()
         q, g = t.filter(pa.array(side == 0)), t.filter(pa.array(side == 1))
@@ -57,11 +61,109 @@ def top_k(queries: DataFrame, gallery: DataFrame, k: int, key: str = "vec_id", v
                     out["sim"] += s[at].tolist()
         return pa.table({c: pa.array(v, pa.string() if "label" in c else pa.float64() if c == "sim" else pa.int64()) for c, v in out.items()})
 
-    found = _sides(queries, gallery, key, vector, label).groupBy("q", "g").applyInArrow(run, "query_id long, query_label string, gallery_id long, gallery_label string, sim double")
+    return run
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("sim"), "gallery_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "query_label", "rank", "gallery_id", "gallery_label", "sim")
 
 
+def top_k(queries: DataFrame, gallery: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
+    """query_id, query_label, rank, gallery_id, gallery_label, sim: the k nearest by cosine (rounded to DIGITS), ties by id."""
+    return _ranked(_sides(queries, gallery, key, vector, label).groupBy("q", "g").applyInArrow(_nearest(k), _NEAREST), k)
+
+
+#: Lists of the pruned search: at most so many, from a sample of so many rows at most (by the hash of their id), and how many a query looks at first.
+LISTS, SAMPLE, FIRST = 2048, 20_000, 4
+
+
+def _centres(gallery: DataFrame, n: int, vector: str, key: str, seed: int = 3) -> np.ndarray:
+    """Unit vectors that a sample of the gallery gathers around: a few steps of spherical k-means on the driver."""
+    rows = gallery.orderBy(F.xxhash64(key), key).limit(SAMPLE).select(F.col(vector).cast("array<double>").alias("v")).collect()
+    x = np.array([r.v for r in rows], dtype=np.float64)
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+    c = x[np.random.Generator(np.random.PCG64(seed)).permutation(len(x))[:n]]
+    for _ in range(5):
+        at = (x @ c.T).argmax(axis=1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, at, x)
+        size = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+        c = np.where(size > 0, sums / np.maximum(size, 1e-300), c)
+    return c
+
+
+def _angles(column: pa.Array | pa.ChunkedArray, centres: np.ndarray) -> np.ndarray:
+    """Of vectors to centres; a vector of nought is at no angle to any, so that nothing is pruned for it."""
+    x = _matrix(pa.chunked_array([column]) if isinstance(column, pa.Array) else column)
+    out = np.arccos(np.clip(x @ centres.T, -1, 1))
+    out[~x.any(axis=1)] = 0
+    return out
+
+
+def top_k_pruned(queries: DataFrame, gallery: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", label: str = "label", lists: int | None = None) -> DataFrame:
+    """top_k(), by lists around centres: the same rows, without comparing what can't be among them.
+
+    A query looks at the FIRST lists next to it, which gives a bound for its k-th neighbour, and then only at lists that may
+    hold a nearer one: no vector of a list is nearer to a query than the angle to the list's centre less the list's radius. So
+    the result is exact; on gathered vectors few lists are left, on scattered ones most are. Lists meet queries in blocks.
+    """
+    n = gallery.count()
+    centres = _centres(gallery, lists or max(1, min(LISTS, math.isqrt(n))), vector, key) if n else np.zeros((0, 1))
+    if not len(centres):
+        return top_k(queries, gallery, k, key, vector, label)
+    pick = lambda df: df.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v"))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                a = _angles(b.column(2), centres)
+                at = a.argmin(axis=1)
+                far = np.where(a.any(axis=1), a[np.arange(len(a)), at], math.pi)  # a vector of nought opens its list to all
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at), pa.array(far)], names=["id", "label", "v", "list", "far"])
+
+    g = stored(pick(gallery).mapInArrow(listed, "id long, label string, v array<double>, list long, far double"))
+    sizes = {r.list: (r.n, r.far) for r in g.groupBy("list").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}  # LISTS rows
+    radius = np.array([sizes.get(i, (0, -math.inf))[1] for i in range(len(centres))])
+
+    def chosen(first: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                a = _angles(b.column(2), centres)
+                a[:, radius < 0] = np.inf
+                early = np.zeros(a.shape, dtype=bool)
+                np.put_along_axis(early, np.argsort(a, axis=1, kind="stable")[:, :FIRST], True, axis=1)
+                early &= np.isfinite(a)
+                if not first:
+                    bound = b.column(3).to_numpy(zero_copy_only=False)
+                    most = np.cos(np.clip(a - radius, 0, math.pi))  # the largest cosine that a list can have
+                    early = ~early & np.isfinite(a) & ((most >= (bound - 2 * 10.0**-DIGITS)[:, None]) | np.isnan(bound)[:, None])
+                q, at = np.nonzero(early)
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(q)) for c in b.columns[:3]), pa.array(at)], names=["id", "label", "v", "list"])
+
+        return run
+
+    def search(asked: DataFrame) -> DataFrame:
+        own = F.ceil(F.col("n") / BLOCK)
+        each = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), m.cast("long") - 1))
+        many = stored(asked)
+        counts = many.groupBy("list").agg(F.count("*").alias("m")).join(g.groupBy("list").agg(F.count("*").alias("n")), "list")
+        counts = F.broadcast(counts)  # LISTS rows
+        left = many.join(counts, "list").select("id", "label", "v", F.lit(0).alias("side"), "list", F.pmod(F.xxhash64("id", F.lit(0)), F.ceil(F.col("m") / BLOCK)).alias("q"), each(own).alias("g"))
+        right = g.join(counts, "list").select("id", "label", "v", F.lit(1).alias("side"), "list", each(F.ceil(F.col("m") / BLOCK)).alias("q"), F.pmod(F.xxhash64("id", F.lit(1)), own).alias("g"))
+        return _ranked(left.unionByName(right).groupBy("list", "q", "g").applyInArrow(_nearest(k), _NEAREST), k)
+
+    asked = pick(queries)
+    near = stored(search(asked.mapInArrow(chosen(True), "id long, label string, v array<double>, list long")))
+    bound = near.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("sim").alias("bound"))
+    rest = asked.join(bound, "id", "left").select("id", "label", "v", F.coalesce("bound", F.lit(float("nan"))).alias("bound"))
+    more = search(rest.mapInArrow(chosen(False), "id long, label string, v array<double>, list long"))
+    return _ranked(near.unionByName(more).drop("rank"), k)
+
+
 def first_matches(queries: DataFrame, gallery: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """query_id, first_rank: the rank of the first gallery row of the query's label (null if there is none), without sorting the gallery.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import motifs, scalars
 from ..operators import curation as ops
 from ..operators import grouping, integrity
+from ..storage import stored
 from .common import table, wide
 
 WORDS = ("that", "der", "des", "del")
@@ -344,3 +345,17 @@ def _stats(s, d):
 @query("simcluster_greedy")
 def _greedy(s, d):
     return grouping.greedy(table(s, d, "benchmark").select(F.col("item_id").cast("long").alias("id"), F.lower("text").alias("seq")), 0.6)
+
+
+@query("simcluster_check", " UNION ALL ".join(f"SELECT '{n}' AS \"check\", true AS passed" for n in ("every_row", "members_are_similar", "longest_first", "representatives_are_apart")))
+def _greedy_check(s, d):
+    seqs = table(s, d, "benchmark").select(F.col("item_id").cast("long").alias("id"), F.lower("text").alias("seq"))
+    out = stored(grouping.greedy(seqs, 0.6))
+    rep = seqs.select(F.col("id").alias("representative"), F.col("seq").alias("r"))
+    both = out.join(seqs, "id").join(rep, "representative").withColumn("same", grouping.identity("seq", "r"))
+    reps = out.where("is_rep").select(F.col("id").alias("a"))
+    near = grouping.similar(seqs, 0.6).join(reps, "a").join(reps.withColumnRenamed("a", "b"), "b")
+    sums = both.agg((F.count("*") == F.lit(seqs.count())).alias("every_row"), F.bool_and(F.col("is_rep") | (F.col("same") >= 0.6)).alias("members_are_similar"), F.bool_and(F.length("r") >= F.length("seq")).alias("longest_first"))
+    apart = near.agg((F.count("*") == 0).alias("representatives_are_apart"))
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("check"), F.col(c).alias("passed")) for c in (*sums.columns, *apart.columns))))
+    return sums.crossJoin(F.broadcast(apart)).select(each.alias("x")).select("x.*")  # one row each

@@ -43,6 +43,11 @@ def _top(s, d):
     return vectors.top_k(*_sides(s, d), 10)
 
 
+@query("cosine_topk_pruned", f"WITH {_SIM} SELECT query_id, query_label, rank, gallery_id, gallery_label, sim FROM ranked WHERE rank <= 10")
+def _top_pruned(s, d):
+    return vectors.top_k_pruned(*_sides(s, d), 10)
+
+
 @query("top_exemplars", f"WITH {_SIM} SELECT query_id, rank, gallery_id, gallery_label, sim, doc.source AS payload FROM ranked LEFT JOIN documents doc ON doc.doc_id = gallery_id WHERE rank <= 5")
 def _exemplars(s, d):
     docs = table(s, d, "documents").select(F.col("doc_id").alias("gallery_id"), F.col("source").alias("payload"))
@@ -402,3 +407,19 @@ def _predict(s, d):
     out = prediction.predict(seqs, hits, vectors.votes(top), top, F.length("seq") >= 50)
     classes = F.array_join(F.transform("classes", lambda x: F.concat_ws(":", x["label"], x["p"].cast("string"))), ";")
     return out.withColumns({"domain": F.md5("domain"), "classes": classes, "exemplars": F.array_join(F.transform("exemplars", lambda x: x.cast("string")), ",")})
+
+
+#: What the six figures show: name, the query that has its data, and which of its columns are series, x and y.
+FIGURES = (
+    ("layers", "layer_ablation", "name", "'ari'", "ari"),
+    ("methods", "method_table", "method", "'accuracy'", "accuracy"),
+    ("classes", "per_class_report", "label", "'f1'", "f1"),
+    ("confusion", "confusion_norm", "true_label", "predicted", "share"),
+    ("reliability", "reliability_bins", "'fraction_positive'", "cast(bin AS string)", "fraction_positive"),
+    ("retrieval", "pr_curve", "'precision'", "cast(step AS string)", "precision"),
+)
+
+
+@query("figure_data", " UNION ALL ".join(f"SELECT '{name}' AS figure, {series} AS series, {x} AS x, CAST({y} AS DOUBLE) AS y FROM ({ORACLE[q]})" for name, q, series, x, y in FIGURES))
+def _figures(s, d):
+    return integrity.all_of([QUERIES[q](s, d).selectExpr(f"'{name}' AS figure", f"{series} AS series", f"{x} AS x", f"cast({y} AS double) AS y") for name, q, series, x, y in FIGURES])

@@ -278,3 +278,20 @@ def test_tracked_and_sets(spark):
     assert rows(integrity.tracked(ids(1, 2, 3, 3), {"no a": ids(1, 2), "no b": ids(1)}, "id")) == [(1, "used"), (2, "no b"), (3, "no a")]
     v = spark.createDataFrame([("a", 1, [0.0]), ("a", 2, [1.0]), ("b", 2, [float("nan")]), ("b", 1, [1.0]), ("c", 1, [1.0, 2.0])], "config string, id long, embedding array<double>")
     assert {r.config: (r.n, r.with_nan, r.same_ids) for r in integrity.embedding_sets(v, "a").collect()} == {"a": (2, 0, True), "b": (2, 1, True), "c": (1, 0, False)}
+
+
+@pytest.mark.parametrize("gathered", [True, False])
+def test_pruned_search_is_exact(spark, monkeypatch, gathered):
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(12, 8)) * 5
+    x = [(i, ((centres[i % 12] if gathered else 0) + rng.normal(size=8) * 0.3).tolist(), "ab"[i % 2]) for i in range(300)] + [(900, [0.0] * 8, "a"), (901, [0.0] * 8, "b")]
+    df = spark.createDataFrame([(i, v, y) for i, v, y in x], "vec_id long, embedding array<double>, label string")
+    q, g = df.where("vec_id % 5 = 0"), df.where("vec_id % 5 <> 0 or vec_id = 900")
+    seen = []
+    real = vectors.stored
+    monkeypatch.setattr(vectors, "stored", lambda d: seen.append(real(d)) or seen[-1])
+    assert rows(vectors.top_k_pruned(q, g, 6)) == rows(vectors.top_k(q, g, 6))
+    looked = sum(d.count() for d in seen if "list" in d.columns and "far" not in d.columns)
+    assert looked < 0.6 * 60 * 15 if gathered else looked > 0  # pairs of queries and lists, of 61 x 15
+    assert rows(vectors.top_k_pruned(q, g.limit(0), 6)) == [] == rows(vectors.top_k_pruned(q.limit(0), g, 6))
