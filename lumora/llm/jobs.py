@@ -59,10 +59,15 @@ def cut(df: DataFrame) -> DataFrame:
 stored = cut
 
 
-def sweep(spark: SparkSession, keep: DataFrame | None = None) -> None:
-    """Remove the tables that this process has written, but for those that keep reads; results not read yet are lost."""
+def written() -> set[str]:
+    """The tables that this process has written and not removed."""
+    return set(_written)
+
+
+def sweep(spark: SparkSession, before: set[str], keep: DataFrame | None = None) -> None:
+    """Remove the tables written since there were those before, but for those that keep reads; results of theirs not read yet are lost."""
     files = " ".join(keep.inputFiles()) if keep is not None else ""
-    for path in list(_written):
+    for path in [x for x in _written if x not in before]:
         if path.rsplit("/", 1)[1] not in files:
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
