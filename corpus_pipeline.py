@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lumora.llm import decontam, mil, neardup, secrets, tokens
-from lumora.llm.jobs import stored, sweep, table
+from lumora.llm.jobs import stored, sweep, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +48,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on documents; what each returns is written as Parquet to the checkpoint folder and read from there by the next."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), written()
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = stored(docs)
-            sweep(spark, docs)  # what the stages so far had written
+            sweep(spark, before, docs)  # what the stages so far had written
     return docs
