@@ -32,7 +32,7 @@ SHAPES = 32
 PLAIN = 18
 FEATURES = PLAIN + SHAPES
 HIDDEN, GATE, EPOCHS, RATE, DECAY = 24, 12, 40, 0.01, 1e-4
-_STEP = 2048  # passages encoded at a time
+_STEP = 512  # passages encoded at a time
 
 _CLASS = np.zeros(256, dtype=np.uint8)  # 0 other, 1 lower, 2 upper, 3 digit, 4 beyond ASCII, 5 full stop or comma, 6 other mark
 _CLASS[33:127] = 6

@@ -43,7 +43,7 @@ SHINGLE, THRESHOLD = 5, (75, 100)
 ROWS, BANDS, BASE, SCALE = 5, 44, 1.1, 20.0
 REGISTERS = ROWS * BANDS
 LIKELY = 0.6
-STAR, BLOCK, MASS = 256, 1024, 2_000_000  # classes and shingles of a block
+STAR, BLOCK, MASS = 256, 1024, 1_000_000  # classes and shingles of a block
 _rng = np.random.Generator(np.random.PCG64(99))
 _A = _rng.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)

@@ -36,7 +36,7 @@ DROPOUT, SEED, VARIANTS = 0.1, 17, 0
 SPACE = "▁"
 _LONG = 48  # chunks of more symbols go through the agenda one by one, in n log n steps
 _SHARED = 3  # skipped merges up to which occurrences share their work; beyond, each is merged by itself
-KNOWN, SLICE = 1 << 19, 1 << 20  # agendas that a worker keeps (it starts afresh beyond that), bytes encoded at a time
+KNOWN, SLICE = 1 << 18, 3 << 17  # agendas that a worker keeps (it starts afresh beyond that), bytes encoded at a time
 _U = np.uint64
 
 
