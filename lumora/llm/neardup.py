@@ -188,13 +188,15 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of distinct pairs (a, b) those whose full sets are linked; texts travel once for each pair's a and each STAR pairs of a b."""
-    size = pairs.groupBy("b").agg(F.count("*").alias("k"))
-    salted = cut(pairs.join(size, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("k") / STAR)).alias("salt")))
+    """Of distinct pairs (a, b), written already, those whose full sets are linked, again for a doc_id's further rows; texts travel once for each pair's a and each STAR pairs of a b."""
+    # a table of its own: where few centres have many pairs, the pairs need no shuffle to find their parts
+    size = cut(pairs.groupBy("b").agg(F.count("*").alias("k")).where(F.col("k") > STAR))
+    salted = pairs.join(size, "b", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("a"), F.ceil(F.col("k") / STAR)), F.lit(0)).alias("salt"))
     needs = salted.select(F.col("a").alias("doc_id"), "b", "salt", F.lit(1).alias("member")).union(salted.select(F.col("b"), "b", "salt", F.lit(0)).distinct())
-    texts = marked(docs.selectExpr("cast(doc_id as long) doc_id", "text"), "doc_id", marks(needs, "doc_id"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    texts = marked(docs.selectExpr("cast(doc_id as long) doc_id", "text"), "doc_id", marks(ends, "doc_id"))
     rows = texts.join(needs, "doc_id")
-    return rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "member", "doc_id").mapInArrow(_verify_batches, "a long, b long").distinct()
+    return rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "member", "doc_id").mapInArrow(_verify_batches, "a long, b long")
 
 
 def _tile_pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -269,9 +271,9 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     comps = components(links)
     # what is left: buckets that hold several components
     inside = members.select("bucket", "cid", "k", "mass").join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("root", "cid"))
-    open_ = inside.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most")
     # in a bucket of two classes the pair is decided by now
-    todo = salted(inside.where("k > 2"), hot, "cid", "bucket").join(spread(open_.select("bucket"), hot, "bucket"), ["bucket", "salt__"], "left_semi").drop("salt__")
+    open_ = cut(inside.where("k > 2").groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("bucket"))
+    todo = salted(inside.where("k > 2"), hot, "cid", "bucket").join(spread(open_, hot, "bucket"), ["bucket", "salt__"], "left_semi").drop("salt__")
     blocks = F.ceil(F.greatest(F.col("k") / BLOCK, F.col("mass") / MASS))
     todo = todo.select("bucket", "cid", "comp", blocks.alias("blocks"), F.pmod(F.xxhash64("cid"), blocks).alias("block"))
     todo = todo.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))

@@ -33,6 +33,28 @@ def test_components_of_nothing(spark):
     assert jobs.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("alone", [0, 60, 115])
+def test_components_by_rounds(spark, monkeypatch, alone):
+    """Rounds to the end, until the list is short enough, and from a list that is so but for its repeats."""
+    monkeypatch.setattr(jobs, "ALONE", alone)
+    rnd = random.Random(3)
+    edges = [(rnd.randint(0, 120), rnd.randint(0, 120)) for _ in range(90)] + [(i + 1, i) for i in range(200, 230)] + [(300, 300), (None, 4), (5, None)] + [(7, 8)] * 9
+    assert rows(jobs.components(spark.createDataFrame(edges, "a long, b long"))) == brute(edges)
+    assert jobs.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_of_a_short_list_take_no_rounds(spark):
+    """A chain, which takes the most rounds: a few small jobs, whatever the number of shuffle partitions."""
+    edges = [(i, i + 1) for i in range(1000)]
+    sc = spark.sparkContext
+    sc.setJobGroup("short list", "components")
+    try:
+        assert rows(jobs.components(spark.createDataFrame(edges, "a long, b long"))) == [(i, 0) for i in range(1001)]
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobIdsForGroup("short list")) <= 6
+
+
 @pytest.mark.parametrize("bits", [64, 1 << 23])
 def test_without(spark, monkeypatch, bits):
     monkeypatch.setattr(jobs, "MARK_BITS", (bits, bits))

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from lumora.llm import jobs
 from lumora.llm import neardup as N
 
 from ..conftest import rows
@@ -63,6 +64,17 @@ def test_hot_group(spark):
     assert rows(N.groups(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
 
 
+@pytest.mark.parametrize("star,alone", [(3, 0), (3, 1 << 18), (256, 20)])
+def test_parts_of_centres_and_long_lists(spark, monkeypatch, star, alone):
+    """Centres with more pairs than a part holds; lists of links that one task doesn't take. Repeated ids with other texts too."""
+    monkeypatch.setattr(N, "STAR", star)
+    monkeypatch.setattr(jobs, "ALONE", alone)
+    docs = corpus(6, 90)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(N.groups(df)) == brute(docs)
+    assert rows(N.groups(df.union(df)).distinct()) == brute(docs)
+
+
 def test_repeats_nulls_and_more_columns(spark):
     df = spark.createDataFrame([(1, "a b c d e", 1, "x"), (1, "a b c d e", 2, "y"), (None, "a b c d e", 3, "z"), (2, "A B C D E", 4, None), (None, "alone here", 5, None)], "doc_id long, text string, cid int, bucket string")
     assert rows(N.groups(df)) == [(None, 1, None, False), (None, 1, 1, False), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
